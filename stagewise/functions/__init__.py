@@ -1,0 +1,27 @@
+"""Column-level helpers (all built-in Spark expressions, no UDFs)."""
+
+from .labels import GDPR_LABEL, HOUR_SEGMENTS, HOUR_SEGMENT_OTHER, age_label, age_sort_key, bucket, hour_segment
+from .rates import as_text, div_half_up, mean, pct, pct_capped, pct_text, scaled
+from .time import day, day_start, hour_of_day, micros_between, micros_to_interval
+
+__all__ = [
+    "GDPR_LABEL",
+    "HOUR_SEGMENTS",
+    "HOUR_SEGMENT_OTHER",
+    "age_label",
+    "age_sort_key",
+    "as_text",
+    "bucket",
+    "day",
+    "day_start",
+    "div_half_up",
+    "hour_of_day",
+    "hour_segment",
+    "mean",
+    "micros_between",
+    "micros_to_interval",
+    "pct",
+    "pct_capped",
+    "pct_text",
+    "scaled",
+]

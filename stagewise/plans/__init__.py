@@ -1,0 +1,6 @@
+"""The reference's queries as DataFrame plans, their registry and SQL oracles."""
+
+from .queries import PLANS
+from .registry import oracle_sql, queries
+
+__all__ = ["PLANS", "oracle_sql", "queries"]
