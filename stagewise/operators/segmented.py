@@ -76,9 +76,8 @@ def _flag(predicate: str | None) -> Column:
     return F.coalesce(F.expr(predicate), F.lit(False)).cast("int")
 
 
-def _part(df: DataFrame, dims: list[str], step: SegmentStep, users: Column, rides: Column, present: Column) -> DataFrame:
-    return df.select(
-        *dims,
+def _row(step: SegmentStep, users: Column, rides: Column, present: Column) -> Column:
+    return F.struct(
         F.lit(step.order).cast("int").alias("step"),
         F.lit(step.name).alias("name"),
         users.cast("long").alias("users"),
@@ -87,6 +86,16 @@ def _part(df: DataFrame, dims: list[str], step: SegmentStep, users: Column, ride
     )
 
 
+def _rows(df: DataFrame, dims: list[str], rows: list[Column]) -> DataFrame:
+    """One output row per step from one aggregated row.
+
+    All steps are unpivoted from the same aggregate in a single projection;
+    selecting each step's column in a separate branch would let column
+    pruning split the shared aggregate into one recomputation per step.
+    """
+    return df.select(*dims, F.inline(F.array(*rows)))
+
+
 def _ride_rows(tables: FunnelTables, steps: Sequence[SegmentStep], user_dims: DataFrame, dims: list[str]) -> DataFrame:
     rides = tables.ride_requests
     if _mentions(steps, "paid"):
@@ -119,9 +128,7 @@ def _ride_parts(rows: DataFrame, steps: Sequence[SegmentStep], dims: list[str])
         *[F.coalesce(F.sum(f), F.lit(0)).alias(f"u{f}") for f in fs],
         *[F.coalesce(F.max(f), F.lit(0)).alias(f"p{f}") for f in fs],
     )
-    parts = [
-        _part(users, dims, s, F.col(f"uf{s.order}"), F.lit(0), F.col(f"pf{s.order}")) for s in steps
-    ]
+    parts = [_rows(users, dims, [_row(s, F.col(f"uf{s.order}"), F.lit(0), F.col(f"pf{s.order}")) for s in steps])]
     if any(s.rides for s in steps):
         counted = [s for s in steps if s.rides]
         per_ride = rows.groupBy(*dims, "ride_id").agg(*[F.max(f"f{s.order}").alias(f"f{s.order}") for s in counted])
@@ -131,7 +138,7 @@ def _ride_parts(rows: DataFrame, steps: Sequence[SegmentStep], dims: list[str])
                 for s in counted
             ]
         )
-        parts += [_part(ride_totals, dims, s, F.lit(0), F.col(f"rf{s.order}"), F.lit(0)) for s in counted]
+        parts.append(_rows(ride_totals, dims, [_row(s, F.lit(0), F.col(f"rf{s.order}"), F.lit(0)) for s in counted]))
     return parts
 
 
@@ -163,14 +170,14 @@ def segmented_funnel(
     for s in steps:
         if s.grain == "download":
             counted = base.groupBy(*names).agg(F.count_distinct("app_download_key").alias("n"))
-            parts.append(_part(counted, names, s, F.col("n"), F.lit(0), F.lit(1)))
+            parts.append(_rows(counted, names, [_row(s, F.col("n"), F.lit(0), F.lit(1))]))
         elif s.grain == "signup":
             users = user_dims
             if s.predicate is not None:
                 qualified = tables.signups.where(F.expr(s.predicate)).select("user_id")
                 users = users.join(qualified, "user_id", "left_semi")
             counted = users.select(*names, "user_id").distinct().groupBy(*names).agg(F.count("*").alias("n"))
-            parts.append(_part(counted, names, s, F.col("n"), F.lit(0), F.col("n") > 0))
+            parts.append(_rows(counted, names, [_row(s, F.col("n"), F.lit(0), F.col("n") > 0)]))
         elif s.grain == "user_review":
             rows = tables.reviews.where(F.col("user_id").isNotNull()).select("user_id", "ride_id").join(user_dims, "user_id")
             users = rows.select(*names, "user_id").distinct().groupBy(*names).agg(F.count("*").alias("n"))
@@ -181,8 +188,8 @@ def segmented_funnel(
                 .groupBy(*names)
                 .agg(F.count("*").alias("n"))
             )
-            parts.append(_part(users, names, s, F.col("n"), F.lit(0), F.col("n") > 0))
-            parts.append(_part(rides, names, s, F.lit(0), F.col("n"), F.lit(0)))
+            parts.append(_rows(users, names, [_row(s, F.col("n"), F.lit(0), F.col("n") > 0)]))
+            parts.append(_rows(rides, names, [_row(s, F.lit(0), F.col("n"), F.lit(0))]))
     ride_steps = [s for s in steps if s.grain == "ride"]
     if ride_steps:
         parts += _ride_parts(_ride_rows(tables, ride_steps, user_dims, names), ride_steps, names)
