@@ -1,27 +1,47 @@
-"""Column-level helpers (all built-in Spark expressions, no UDFs)."""
+"""Column-level helpers: built-in Spark SQL expressions, no UDFs.
 
-from .labels import GDPR_LABEL, HOUR_SEGMENTS, HOUR_SEGMENT_OTHER, age_label, age_sort_key, bucket, hour_segment
-from .rates import as_text, div_half_up, mean, pct, pct_capped, pct_text, scaled
-from .time import day, day_start, hour_of_day, micros_between, micros_to_interval
+Each helper exists as a SQL expression builder (``*_sql``) and as a Column.
+"""
 
-__all__ = [
-    "GDPR_LABEL",
-    "HOUR_SEGMENTS",
-    "HOUR_SEGMENT_OTHER",
-    "age_label",
-    "age_sort_key",
-    "as_text",
-    "bucket",
-    "day",
-    "day_start",
-    "div_half_up",
-    "hour_of_day",
-    "hour_segment",
-    "mean",
-    "micros_between",
-    "micros_to_interval",
-    "pct",
-    "pct_capped",
-    "pct_text",
-    "scaled",
-]
+from .labels import (
+    GDPR_LABEL,
+    HOUR_SEGMENT_OTHER,
+    HOUR_SEGMENTS,
+    age_label,
+    age_label_sql,
+    age_sort_key,
+    age_sort_key_sql,
+    bucket,
+    bucket_sql,
+    hour_segment,
+    hour_segment_sql,
+    quote,
+)
+from .rates import (
+    as_text,
+    as_text_sql,
+    div_half_up,
+    div_half_up_sql,
+    mean,
+    mean_sql,
+    pct,
+    pct_capped,
+    pct_capped_sql,
+    pct_sql,
+    pct_text,
+    scaled_sql,
+)
+from .time import (
+    day,
+    day_sql,
+    day_start,
+    day_start_sql,
+    hour_of_day,
+    hour_of_day_sql,
+    micros_between,
+    micros_between_sql,
+    micros_to_interval,
+    micros_to_interval_sql,
+)
+
+__all__ = [name for name in dir() if not name.startswith("_")]

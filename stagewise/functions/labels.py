@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Output text that must equal the reference's.
 GDPR_LABEL = "GDPR data"
-# raw age_range values reported under GDPR_LABEL
+# raw age_range values reported under GDPR_LABEL (besides NULL)
 GDPR_RAW_VALUES = ("None",)
 # sort key of GDPR_LABEL among the age ranges (after every numeric lower bound)
 GDPR_SORT_KEY = 100
@@ -24,36 +24,49 @@ HOUR_SEGMENTS = (
 HOUR_SEGMENT_OTHER = "Late Evening-(19:00 - 00:00 hours) Casual rides"
 
 
-def _c(col: Column | str) -> Column:
-    return F.col(col) if isinstance(col, str) else col
+def quote(text: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def age_label(age_range: Column | str) -> Column:
+def age_label_sql(age_range: str) -> str:
     """Raw ``age_range`` to its reported label: NULL and 'None' become GDPR."""
-    a = _c(age_range)
-    return F.when(a.isNull() | a.isin(*GDPR_RAW_VALUES), F.lit(GDPR_LABEL)).otherwise(a)
+    raw = ", ".join(quote(v) for v in GDPR_RAW_VALUES)
+    return f"CASE WHEN {age_range} IS NULL OR {age_range} IN ({raw}) THEN {quote(GDPR_LABEL)} ELSE {age_range} END"
 
 
-def age_sort_key(label: Column | str) -> Column:
+def age_sort_key_sql(label: str) -> str:
     """Numeric lower bound of an ``lo-hi`` label; GDPR after all; unparsable NULL."""
-    a = _c(label)
-    lower = F.split_part(a, F.lit("-"), F.lit(1)).try_cast("int")
-    return F.when(a == GDPR_LABEL, F.lit(GDPR_SORT_KEY)).otherwise(lower)
+    return (
+        f"CASE WHEN {label} = {quote(GDPR_LABEL)} THEN {GDPR_SORT_KEY}"
+        f" ELSE try_cast(split_part({label}, '-', 1) AS INT) END"
+    )
 
 
-def bucket(value: Column | str, rules: Sequence[tuple[str, int | None, int | None]], other: str) -> Column:
+def bucket_sql(value: str, rules: Sequence[tuple[str, int | None, int | None]], other: str) -> str:
     """First-match bucketing of a number by inclusive ``(label, lo, hi)`` rules."""
-    v = _c(value)
-    expr = None
+    whens = []
     for label, lo, hi in rules:
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (v >= lo)
-        if hi is not None:
-            cond = cond & (v <= hi)
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return expr.otherwise(F.lit(other)) if expr is not None else F.lit(other)
+        conds = [c for c in (f"{value} >= {lo}" if lo is not None else None, f"{value} <= {hi}" if hi is not None else None) if c]
+        whens.append(f"WHEN {' AND '.join(conds) or 'TRUE'} THEN {quote(label)}")
+    return f"CASE {' '.join(whens)} ELSE {quote(other)} END"
 
 
-def hour_segment(hour: Column | str) -> Column:
-    return bucket(hour, HOUR_SEGMENTS, HOUR_SEGMENT_OTHER)
+def hour_segment_sql(hour: str) -> str:
+    return bucket_sql(hour, HOUR_SEGMENTS, HOUR_SEGMENT_OTHER)
+
+
+def age_label(age_range: str) -> Column:
+    return F.expr(age_label_sql(age_range))
+
+
+def age_sort_key(label: str) -> Column:
+    return F.expr(age_sort_key_sql(label))
+
+
+def bucket(value: str, rules: Sequence[tuple[str, int | None, int | None]], other: str) -> Column:
+    return F.expr(bucket_sql(value, rules, other))
+
+
+def hour_segment(hour: str) -> Column:
+    return F.expr(hour_segment_sql(hour))

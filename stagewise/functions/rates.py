@@ -1,4 +1,4 @@
-"""Exact rates and percentages as Spark column expressions.
+"""Exact rates and percentages.
 
 Percentages are computed in integer arithmetic and rounded half away from
 zero (the rounding of SQL ``ROUND(numeric, n)``), then returned as
@@ -8,73 +8,86 @@ not depend on the engine or on evaluation order.
 Division by zero or by NULL yields NULL (``try_divide`` semantics); the
 reference leaves several of its ratios unguarded, where a database would
 raise instead.
+
+Each helper has a ``*_sql`` form that returns a Spark SQL expression over
+column names or other expressions, and a Column form (one ``F.expr``). A
+whole expression is handed to the JVM in one call instead of one call per
+operator, which keeps plan construction cheap.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _c(col: Column | str) -> Column:
-    return F.col(col) if isinstance(col, str) else col
+def _unit(scale: int) -> str:
+    return "1" if scale <= 0 else "0." + "0" * (scale - 1) + "1"
 
 
-def div_half_up(num: Column | str, den: Column | str, factor: int = 1) -> Column:
-    """``round(num * factor / den)`` half away from zero, as a long.
+def div_half_up_sql(num: str, den: str, factor: int = 1) -> str:
+    """``round(num * factor / den)`` half away from zero, as a long; NULL for a 0/NULL den.
 
-    ``num`` and ``den`` are integral; ``den`` must be positive (NULL result
-    for NULL or 0). The quotient is taken exactly: ``x - x % y`` is a multiple
-    of ``y``, so the decimal division that follows has no remainder.
+    ``num`` and ``den`` are integral and ``den`` non-negative; ``div`` is
+    exact integer division, so no rounding step can go astray.
     """
-    n = _c(num).cast("long")
-    d = _c(den).cast("long")
-    x = F.abs(n) * (2 * factor) + d
-    y = d * 2
-    q = ((x - x % y).cast("decimal(38,0)") / y.cast("decimal(38,0)")).cast("long")
-    signed = F.when(n < 0, -q).otherwise(q)
-    return F.when(d.isNull() | (d == 0), F.lit(None).cast("long")).otherwise(signed)
+    n, d = f"CAST({num} AS BIGINT)", f"CAST({den} AS BIGINT)"
+    q = f"(({2 * factor} * abs({n}) + {d}) div (2 * {d}))"
+    return f"(CASE WHEN {d} IS NULL OR {d} = 0 THEN CAST(NULL AS BIGINT) WHEN {n} < 0 THEN -{q} ELSE {q} END)"
 
 
-def scaled(q: Column, scale: int) -> Column:
+def scaled_sql(q: str, scale: int) -> str:
     """Long ``q`` read as a decimal with ``scale`` fraction digits."""
-    step = Decimal(1).scaleb(-scale)
-    return (q.cast("decimal(18,0)") * F.lit(step)).cast(f"decimal(18,{scale})")
+    return f"CAST(CAST({q} AS DECIMAL(18,0)) * {_unit(scale)} AS DECIMAL(18,{scale}))"
 
 
-def pct(num: Column | str, den: Column | str, scale: int = 2) -> Column:
+def pct_sql(num: str, den: str, scale: int = 2) -> str:
     """``num / den * 100`` rounded to ``scale`` places, ``decimal(18, scale)``."""
-    return scaled(div_half_up(num, den, 100 * 10**scale), scale)
+    return scaled_sql(div_half_up_sql(num, den, 100 * 10**scale), scale)
 
 
-def pct_capped(num: Column | str, den: Column | str, scale: int = 2, cap: int = 100) -> Column:
+def pct_capped_sql(num: str, den: str, scale: int = 2, cap: int = 100) -> str:
     """``round(least(num / den * 100, cap), scale)``.
 
-    LEAST skips NULLs, so a NULL denominator gives ``cap``, not NULL.
+    LEAST skips NULLs, so a NULL (or zero) denominator gives ``cap``.
     """
-    n = _c(num).cast("long")
-    d = _c(den).cast("long")
-    capped = F.lit(cap).cast(f"decimal(18,{scale})")
-    over = d.isNull() | (n * 100 >= d * cap)
-    return F.when(over, capped).otherwise(pct(n, d, scale))
+    return f"coalesce(least({pct_sql(num, den, scale)}, CAST({cap} AS DECIMAL(18,{scale}))), CAST({cap} AS DECIMAL(18,{scale})))"
 
 
-def mean(total: Column | str, n: Column | str, scale: int = 2) -> Column:
+def mean_sql(total: str, n: str, scale: int = 2) -> str:
     """``total / n`` rounded to ``scale`` places, ``decimal(18, scale)``."""
-    return scaled(div_half_up(total, n, 10**scale), scale)
+    return scaled_sql(div_half_up_sql(total, n, 10**scale), scale)
 
 
-def as_text(value: Column, suffix: str = "%", prefix: str = "") -> Column:
-    """Render a number with a prefix/suffix the way SQL CONCAT does.
+def as_text_sql(value: str, suffix: str = "%", prefix: str = "") -> str:
+    """Render a value with a prefix/suffix the way SQL CONCAT does.
 
-    CONCAT skips NULL arguments, so a NULL value renders as the bare suffix
+    CONCAT skips NULL arguments, so a NULL value renders as the bare affixes
     (``'%'``); ``concat_ws('')`` has that behaviour, ``concat`` does not.
     """
-    parts = ([F.lit(prefix)] if prefix else []) + [value.cast("string")] + ([F.lit(suffix)] if suffix else [])
-    return F.concat_ws("", *parts)
+    parts = ([f"'{prefix}'"] if prefix else []) + [f"CAST({value} AS STRING)"] + ([f"'{suffix}'"] if suffix else [])
+    return f"concat_ws('', {', '.join(parts)})"
+
+
+def div_half_up(num: str, den: str, factor: int = 1) -> Column:
+    return F.expr(div_half_up_sql(num, den, factor))
+
+
+def pct(num: str, den: str, scale: int = 2) -> Column:
+    return F.expr(pct_sql(num, den, scale))
+
+
+def pct_capped(num: str, den: str, scale: int = 2, cap: int = 100) -> Column:
+    return F.expr(pct_capped_sql(num, den, scale, cap))
+
+
+def mean(total: str, n: str, scale: int = 2) -> Column:
+    return F.expr(mean_sql(total, n, scale))
+
+
+def as_text(value: str, suffix: str = "%", prefix: str = "") -> Column:
+    return F.expr(as_text_sql(value, suffix, prefix))
 
 
-def pct_text(num: Column | str, den: Column | str, scale: int = 1) -> Column:
-    return as_text(pct(num, den, scale))
+def pct_text(num: str, den: str, scale: int = 1) -> Column:
+    return F.expr(as_text_sql(pct_sql(num, den, scale)))

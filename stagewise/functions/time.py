@@ -1,4 +1,4 @@
-"""Timestamp helpers for TIMESTAMP_NTZ inputs."""
+"""Timestamp helpers for TIMESTAMP_NTZ inputs (SQL expression strings and Columns)."""
 
 from __future__ import annotations
 
@@ -6,35 +6,49 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _c(col: Column | str) -> Column:
-    return F.col(col) if isinstance(col, str) else col
-
-
-def day_start(ts: Column | str) -> Column:
+def day_start_sql(ts: str) -> str:
     """``DATE_TRUNC('day', ts)`` keeping the TIMESTAMP_NTZ type.
 
     Spark's ``date_trunc`` returns a session-zone TIMESTAMP; casting back keeps
     the wall-clock value (the session zone is pinned to UTC).
     """
-    return F.date_trunc("day", _c(ts)).cast("timestamp_ntz")
+    return f"CAST(date_trunc('DAY', {ts}) AS TIMESTAMP_NTZ)"
 
 
-def day(ts: Column | str) -> Column:
-    """``date(ts)``."""
-    return F.to_date(_c(ts))
+def day_sql(ts: str) -> str:
+    return f"to_date({ts})"
 
 
-def hour_of_day(ts: Column | str) -> Column:
+def hour_of_day_sql(ts: str) -> str:
     """``EXTRACT(HOUR FROM ts)`` as int; NULL for a NULL timestamp."""
-    return F.hour(_c(ts)).cast("int")
+    return f"CAST(hour({ts}) AS INT)"
 
 
-def micros_between(start: Column | str, end: Column | str) -> Column:
+def micros_between_sql(start: str, end: str) -> str:
     """``end - start`` in whole microseconds, exact for TIMESTAMP_NTZ."""
-    return F.timestamp_diff("MICROSECOND", _c(start), _c(end))
+    return f"timestampdiff(MICROSECOND, {start}, {end})"
 
 
-def micros_to_interval(micros: Column) -> Column:
+def micros_to_interval_sql(micros: str) -> str:
     """Microseconds as a day-time interval (the type of ``AVG(ts - ts)``)."""
-    secs = (micros.cast("decimal(38,0)") / F.lit(1000000)).cast("decimal(18,6)")
-    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
+    return f"make_dt_interval(0, 0, 0, CAST(CAST({micros} AS DECIMAL(38,0)) / 1000000 AS DECIMAL(18,6)))"
+
+
+def day_start(ts: str) -> Column:
+    return F.expr(day_start_sql(ts))
+
+
+def day(ts: str) -> Column:
+    return F.expr(day_sql(ts))
+
+
+def hour_of_day(ts: str) -> Column:
+    return F.expr(hour_of_day_sql(ts))
+
+
+def micros_between(start: str, end: str) -> Column:
+    return F.expr(micros_between_sql(start, end))
+
+
+def micros_to_interval(micros: str) -> Column:
+    return F.expr(micros_to_interval_sql(micros))

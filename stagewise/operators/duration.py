@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rates import div_half_up
-from ..functions.time import micros_between, micros_to_interval
+from ..functions.rates import div_half_up_sql
+from ..functions.time import micros_between_sql, micros_to_interval_sql
 
 
 def stage_duration(df: DataFrame, start: str, end: str) -> DataFrame:
@@ -14,14 +14,10 @@ def stage_duration(df: DataFrame, start: str, end: str) -> DataFrame:
     microseconds, half away from zero) and ``average`` (the same as a
     day-time interval). Rows with either timestamp NULL are skipped.
     """
-    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull())
-    agg = rows.agg(
-        F.count("*").alias("rides"),
-        F.sum(micros_between(start, end)).alias("total_us"),
+    agg = df.where(f"{start} IS NOT NULL AND {end} IS NOT NULL").agg(
+        F.expr("count(*) AS rides"), F.expr(f"sum({micros_between_sql(start, end)}) AS total_us")
     )
-    avg_us = div_half_up(F.col("total_us"), F.col("rides"))
-    return agg.select(
-        "rides",
-        avg_us.alias("average_us"),
-        micros_to_interval(avg_us).alias("average"),
+    avg_us = div_half_up_sql("total_us", "rides")
+    return agg.selectExpr("rides", f"{avg_us} AS average_us").selectExpr(
+        "rides", "average_us", f"{micros_to_interval_sql('average_us')} AS average"
     )

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import HOUR_SEGMENT_OTHER, HOUR_SEGMENTS, bucket
-from ..functions.rates import mean
-from ..functions.time import hour_of_day
+from ..functions.labels import HOUR_SEGMENT_OTHER, HOUR_SEGMENTS, bucket_sql
+from ..functions.rates import mean_sql
+from ..functions.time import hour_of_day_sql
 
 
 def hourly_profile(df: DataFrame, ts: str = "request_ts", name: str = "request_count") -> DataFrame:
@@ -17,7 +17,7 @@ def hourly_profile(df: DataFrame, ts: str = "request_ts", name: str = "request_c
 
     At most 25 groups; partial aggregation makes the shuffle tiny at any scale.
     """
-    return df.groupBy(hour_of_day(ts).alias("hour_of_day")).agg(F.count("*").cast("long").alias(name))
+    return df.groupBy(F.expr(f"{hour_of_day_sql(ts)} AS hour_of_day")).agg(F.expr(f"count(*) AS {name}"))
 
 
 def bucket_hours(
@@ -30,14 +30,13 @@ def bucket_hours(
     """Per segment: total count and the mean over the hours present, ordered by
     the segment's first hour (a segment holding only the NULL hour sorts last).
     """
-    seg = profile.withColumn("request_segment", bucket("hour_of_day", rules, other))
-    out = seg.groupBy("request_segment").agg(
-        F.sum(count).cast("long").alias("total_request_count"),
-        F.count("*").alias("_hours"),
-        F.min("hour_of_day").alias("_first_hour"),
+    out = profile.groupBy(F.expr(f"{bucket_sql('hour_of_day', rules, other)} AS request_segment")).agg(
+        F.expr(f"CAST(sum({count}) AS BIGINT) AS total_request_count"),
+        F.expr("count(*) AS hours"),
+        F.expr("min(hour_of_day) AS first_hour"),
     )
-    return (
-        out.withColumn("average_per_hour_ride", mean("total_request_count", "_hours", scale))
-        .orderBy(F.col("_first_hour").asc_nulls_last())
-        .select("request_segment", "total_request_count", "average_per_hour_ride")
+    return out.orderBy(F.expr("first_hour").asc_nulls_last()).selectExpr(
+        "request_segment",
+        "total_request_count",
+        f"{mean_sql('total_request_count', 'hours', scale)} AS average_per_hour_ride",
     )

@@ -10,8 +10,9 @@ segment, then UNION the branches. Here each input is scanned once:
   ``reviewed`` come from transactions and reviews reduced to distinct
   ``ride_id`` first), joined to the users' segments;
 * two aggregations of the ride rows, by (segment, user) and by (segment,
-  ride), turn the flags into exact distinct counts; the first needs no
-  shuffle of its own because the ride rows arrive partitioned by ``user_id``.
+  ride), turn the flags into exact distinct counts for all ride steps at
+  once; the first needs no shuffle of its own when the ride rows arrive
+  partitioned by ``user_id`` from a shuffle join.
 
 Each branch of the naive form emits a row for a segment only if a row
 qualifies; that is kept through a ``present`` flag. No step uses Expand.
@@ -24,11 +25,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.labels import quote
 from ..sources.tables import FunnelTables
 from .segments import APPROVED
+from .stage_counts import unpivot_sql
 
 GRAINS = ("download", "signup", "ride", "user_review")
 
@@ -58,100 +61,100 @@ class SegmentStep:
     rides: bool = False
 
 
-Dim = tuple[str, "Column | str"]
-
-
-def _expr(c: Column | str) -> Column:
-    return F.expr(c) if isinstance(c, str) else c
-
-
 def _mentions(steps: Sequence[SegmentStep], word: str) -> bool:
     pat = re.compile(rf"\b{word}\b", re.IGNORECASE)
     return any(s.predicate and pat.search(s.predicate) for s in steps)
 
 
-def _flag(predicate: str | None) -> Column:
-    if predicate is None:
-        return F.lit(1)
-    return F.coalesce(F.expr(predicate), F.lit(False)).cast("int")
+def _flag_sql(predicate: str | None) -> str:
+    return "1" if predicate is None else f"CAST(coalesce({predicate}, FALSE) AS INT)"
 
 
-def _row(step: SegmentStep, users: Column, rides: Column, present: Column) -> Column:
-    return F.struct(
-        F.lit(step.order).cast("int").alias("step"),
-        F.lit(step.name).alias("name"),
-        users.cast("long").alias("users"),
-        rides.cast("long").alias("rides"),
-        present.cast("int").alias("present"),
-    )
+def _row(step: SegmentStep, users: str, rides: str, present: str) -> list[tuple[str, str]]:
+    return [
+        ("step", f"CAST({step.order} AS INT)"),
+        ("name", quote(step.name)),
+        ("users", f"CAST({users} AS BIGINT)"),
+        ("rides", f"CAST({rides} AS BIGINT)"),
+        ("present", f"CAST({present} AS INT)"),
+    ]
 
 
-def _rows(df: DataFrame, dims: list[str], rows: list[Column]) -> DataFrame:
+def _rows(df: DataFrame, dims: list[str], rows: list[list[tuple[str, str]]]) -> DataFrame:
     """One output row per step from one aggregated row.
 
     All steps are unpivoted from the same aggregate in a single projection;
     selecting each step's column in a separate branch would let column
     pruning split the shared aggregate into one recomputation per step.
     """
-    return df.select(*dims, F.inline(F.array(*rows)))
+    return df.selectExpr(*dims, unpivot_sql(rows))
 
 
-def _ride_rows(tables: FunnelTables, steps: Sequence[SegmentStep], user_dims: DataFrame, dims: list[str]) -> DataFrame:
+def _ride_rows(tables: FunnelTables, steps: Sequence[SegmentStep], user_dims: DataFrame) -> DataFrame:
     rides = tables.ride_requests
+    extra = []
     if _mentions(steps, "paid"):
         paid = (
-            tables.transactions.where(F.col("charge_status") == APPROVED)
+            tables.transactions.where(f"charge_status = {quote(APPROVED)}")
             .groupBy("ride_id")
-            .agg(F.lit(True).alias("paid"))
+            .agg(F.expr("TRUE AS paid_hit"))
         )
-        rides = rides.join(paid, "ride_id", "left").withColumn("paid", F.coalesce("paid", F.lit(False)))
+        rides = rides.join(paid, "ride_id", "left")
+        extra.append("coalesce(paid_hit, FALSE) AS paid")
     if _mentions(steps, "reviewed"):
-        reviewed = (
-            tables.reviews.where(F.col("ride_id").isNotNull())
-            .groupBy("ride_id")
-            .agg(F.lit(True).alias("reviewed"))
-        )
-        rides = rides.join(reviewed, "ride_id", "left").withColumn(
-            "reviewed", F.coalesce("reviewed", F.lit(False))
-        )
-    flags = [_flag(s.predicate).alias(f"f{s.order}") for s in steps]
-    cols = [F.col(f"f{s.order}") for s in steps]
-    any_flag = F.greatest(*cols) if len(cols) > 1 else cols[0]
-    flagged = rides.select("ride_id", "user_id", *flags).where(any_flag == 1)
+        reviewed = tables.reviews.where("ride_id IS NOT NULL").groupBy("ride_id").agg(F.expr("TRUE AS review_hit"))
+        rides = rides.join(reviewed, "ride_id", "left")
+        extra.append("coalesce(review_hit, FALSE) AS reviewed")
+    if extra:
+        rides = rides.selectExpr("*", *extra)
+    flags = [f"{_flag_sql(s.predicate)} AS f{s.order}" for s in steps]
+    any_flag = " OR ".join(f"f{s.order} = 1" for s in steps)
+    flagged = rides.selectExpr("ride_id", "user_id", *flags).where(any_flag)
     return flagged.join(user_dims, "user_id")
 
 
 def _ride_parts(rows: DataFrame, steps: Sequence[SegmentStep], dims: list[str]) -> list[DataFrame]:
     fs = [f"f{s.order}" for s in steps]
-    per_user = rows.groupBy(*dims, "user_id").agg(*[F.max(f).alias(f) for f in fs])
+    per_user = rows.groupBy(*dims, "user_id").agg(*[F.expr(f"max({f}) AS {f}") for f in fs])
     users = per_user.groupBy(*dims).agg(
-        *[F.coalesce(F.sum(f), F.lit(0)).alias(f"u{f}") for f in fs],
-        *[F.coalesce(F.max(f), F.lit(0)).alias(f"p{f}") for f in fs],
+        *[F.expr(f"coalesce(sum({f}), 0) AS u{f}") for f in fs],
+        *[F.expr(f"coalesce(max({f}), 0) AS p{f}") for f in fs],
     )
-    parts = [_rows(users, dims, [_row(s, F.col(f"uf{s.order}"), F.lit(0), F.col(f"pf{s.order}")) for s in steps])]
-    if any(s.rides for s in steps):
-        counted = [s for s in steps if s.rides]
-        per_ride = rows.groupBy(*dims, "ride_id").agg(*[F.max(f"f{s.order}").alias(f"f{s.order}") for s in counted])
-        ride_totals = per_ride.groupBy(*dims).agg(
+    parts = [_rows(users, dims, [_row(s, f"uf{s.order}", "0", f"pf{s.order}") for s in steps])]
+    counted = [s for s in steps if s.rides]
+    if counted:
+        per_ride = rows.groupBy(*dims, "ride_id").agg(*[F.expr(f"max(f{s.order}) AS f{s.order}") for s in counted])
+        totals = per_ride.groupBy(*dims).agg(
             *[
-                F.coalesce(F.sum(F.when(F.col("ride_id").isNotNull(), F.col(f"f{s.order}"))), F.lit(0)).alias(f"rf{s.order}")
+                F.expr(f"coalesce(sum(CASE WHEN ride_id IS NOT NULL THEN f{s.order} END), 0) AS rf{s.order}")
                 for s in counted
             ]
         )
-        parts.append(_rows(ride_totals, dims, [_row(s, F.lit(0), F.col(f"rf{s.order}"), F.lit(0)) for s in counted]))
+        parts.append(_rows(totals, dims, [_row(s, "0", f"rf{s.order}", "0") for s in counted]))
     return parts
 
 
+def _count_per_dims(df: DataFrame, dims: list[str], col: str) -> DataFrame:
+    """Distinct non-NULL ``col`` per segment, as two plain aggregations."""
+    return (
+        df.where(f"{col} IS NOT NULL")
+        .select(*dims, col)
+        .distinct()
+        .groupBy(*dims)
+        .agg(F.expr("count(*) AS n"))
+    )
+
+
 def segmented_funnel(
     tables: FunnelTables,
     steps: Sequence[SegmentStep],
-    dims: Sequence[Dim] = (),
+    dims: Sequence[tuple[str, str]] = (),
     keep_empty: bool = False,
     absent: int | None = 0,
 ) -> DataFrame:
     """``step, name, <dims>, users, rides``: one row per step and segment.
 
-    ``dims`` are ``(name, expression)`` over a download row joined to its
+    ``dims`` are ``(name, SQL expression)`` over a download row joined to its
     signup (e.g. ``platform``, ``age_range``, a day of ``download_ts``).
     ``keep_empty``: emit every step even when nothing qualifies (only
     meaningful without dims: the naive form's ungrouped aggregates). A count
@@ -163,49 +166,44 @@ def segmented_funnel(
     names = [n for n, _ in dims]
     ad, sg = tables.app_downloads, tables.signups
     joined = ad.join(sg, ad.app_download_key == sg.session_id, "left")
-    base = joined.select(*[_expr(e).alias(n) for n, e in dims], ad.app_download_key, sg.user_id)
-    user_dims = base.where(F.col("user_id").isNotNull()).select("user_id", *names)
+    base = joined.selectExpr(*[f"{e} AS {n}" for n, e in dims], "app_download_key", "user_id")
+    user_dims = base.where("user_id IS NOT NULL").select("user_id", *names)
 
     parts: list[DataFrame] = []
     for s in steps:
         if s.grain == "download":
-            counted = base.groupBy(*names).agg(F.count_distinct("app_download_key").alias("n"))
-            parts.append(_rows(counted, names, [_row(s, F.col("n"), F.lit(0), F.lit(1))]))
+            counted = base.groupBy(*names).agg(F.expr("count(DISTINCT app_download_key) AS n"))
+            parts.append(_rows(counted, names, [_row(s, "n", "0", "1")]))
         elif s.grain == "signup":
             users = user_dims
             if s.predicate is not None:
-                qualified = tables.signups.where(F.expr(s.predicate)).select("user_id")
+                qualified = tables.signups.where(s.predicate).select("user_id")
                 users = users.join(qualified, "user_id", "left_semi")
-            counted = users.select(*names, "user_id").distinct().groupBy(*names).agg(F.count("*").alias("n"))
-            parts.append(_rows(counted, names, [_row(s, F.col("n"), F.lit(0), F.col("n") > 0)]))
+            parts.append(_rows(_count_per_dims(users, names, "user_id"), names, [_row(s, "n", "0", "n > 0")]))
         elif s.grain == "user_review":
-            rows = tables.reviews.where(F.col("user_id").isNotNull()).select("user_id", "ride_id").join(user_dims, "user_id")
-            users = rows.select(*names, "user_id").distinct().groupBy(*names).agg(F.count("*").alias("n"))
-            rides = (
-                rows.where(F.col("ride_id").isNotNull())
-                .select(*names, "ride_id")
-                .distinct()
-                .groupBy(*names)
-                .agg(F.count("*").alias("n"))
-            )
-            parts.append(_rows(users, names, [_row(s, F.col("n"), F.lit(0), F.col("n") > 0)]))
-            parts.append(_rows(rides, names, [_row(s, F.lit(0), F.col("n"), F.lit(0))]))
+            rows = tables.reviews.where("user_id IS NOT NULL").select("user_id", "ride_id").join(user_dims, "user_id")
+            parts.append(_rows(_count_per_dims(rows, names, "user_id"), names, [_row(s, "n", "0", "n > 0")]))
+            parts.append(_rows(_count_per_dims(rows, names, "ride_id"), names, [_row(s, "0", "n", "0")]))
     ride_steps = [s for s in steps if s.grain == "ride"]
     if ride_steps:
-        parts += _ride_parts(_ride_rows(tables, ride_steps, user_dims, names), ride_steps, names)
+        parts += _ride_parts(_ride_rows(tables, ride_steps, user_dims), ride_steps, names)
 
     merged = reduce(DataFrame.unionByName, parts).groupBy("step", "name", *names).agg(
-        F.sum("users").alias("users"), F.sum("rides").alias("rides"), F.max("present").alias("present")
+        F.expr("sum(users) AS users"), F.expr("sum(rides) AS rides"), F.expr("max(present) AS present")
     )
     if not keep_empty:
-        merged = merged.where(F.col("present") == 1)
-    absent_col = F.lit(absent).cast("long")
-    users_steps = [s.order for s in steps if s.users]
-    rides_steps = [s.order for s in steps if s.rides]
-    return merged.select(
+        merged = merged.where("present = 1")
+    absent_sql = "CAST(NULL AS BIGINT)" if absent is None else f"CAST({absent} AS BIGINT)"
+
+    def pick(col: str, orders: list[int]) -> str:
+        if not orders:
+            return f"{absent_sql} AS {col}"
+        return f"CASE WHEN step IN ({', '.join(map(str, orders))}) THEN CAST({col} AS BIGINT) ELSE {absent_sql} END AS {col}"
+
+    return merged.selectExpr(
         "step",
         "name",
         *names,
-        F.when(F.col("step").isin(users_steps), F.col("users")).otherwise(absent_col).cast("long").alias("users"),
-        F.when(F.col("step").isin(rides_steps), F.col("rides")).otherwise(absent_col).cast("long").alias("rides"),
+        pick("users", [s.order for s in steps if s.users]),
+        pick("rides", [s.order for s in steps if s.rides]),
     )

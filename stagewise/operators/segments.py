@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ APPROVED = "Approved"  # fixed value: charge_status of a collected payment
 
 def segment_counts(df: DataFrame, dims: Sequence[str], name: str = "count") -> DataFrame:
     """``COUNT(*)`` per combination of ``dims`` (NULL is its own group)."""
-    return df.groupBy(*dims).agg(F.count("*").cast("long").alias(name))
+    return df.groupBy(*dims).agg(F.expr(f"count(*) AS `{name}`"))
 
 
 def user_platforms(tables: FunnelTables) -> DataFrame:
@@ -36,25 +35,20 @@ def user_ride_activity(
     Ride requests are counted per user map-side, so only one row per user and
     partition crosses the shuffle, however many rides a hot user has.
     """
-    rr = tables.ride_requests.where(F.col("user_id").isNotNull())
-    requests = rr.groupBy("user_id").agg(F.count("*").alias("requests"))
+    rr = tables.ride_requests.where("user_id IS NOT NULL")
+    requests = rr.groupBy("user_id").agg(F.expr("count(*) AS requests"))
     if not with_payments:
         return requests
-    tx = tables.transactions.select(
-        "ride_id", F.col("purchase_amount_usd").cast("decimal(18,2)").alias("amount")
-    )
+    tx = tables.transactions.selectExpr("ride_id", "CAST(purchase_amount_usd AS DECIMAL(18,2)) AS amount")
     paid = (
-        rr.where(F.expr(completed))
+        rr.where(completed)
         .select("ride_id", "user_id")
         .join(tx, "ride_id")
         .groupBy("user_id")
-        .agg(F.sum("amount").alias("amount"), F.lit(1).alias("paid_completed"))
+        .agg(F.expr("sum(amount) AS amount"), F.expr("1 AS paid_completed"))
     )
-    return requests.join(paid, "user_id", "left").select(
-        "user_id",
-        F.coalesce("requests", F.lit(0)).alias("requests"),
-        F.coalesce("paid_completed", F.lit(0)).alias("paid_completed"),
-        "amount",
+    return requests.join(paid, "user_id", "left").selectExpr(
+        "user_id", "requests", "coalesce(paid_completed, 0) AS paid_completed", "amount"
     )
 
 
@@ -69,7 +63,7 @@ def ride_requests_by_platform(tables: FunnelTables) -> DataFrame:
         user_platforms(tables)
         .join(activity, "user_id")
         .groupBy("platform")
-        .agg(F.sum("requests").cast("long").alias("ride_request_count"))
+        .agg(F.expr("CAST(sum(requests) AS BIGINT) AS ride_request_count"))
     )
 
 
@@ -85,30 +79,25 @@ def platform_scorecard(tables: FunnelTables, completed: str = "dropoff_ts IS NOT
     activity = user_ride_activity(tables, with_payments=True, completed=completed)
     per_user = (
         user_platforms(tables)
-        .where(F.col("user_id").isNotNull())
+        .where("user_id IS NOT NULL")
         .join(activity, "user_id", "left")
         .groupBy("platform", "user_id")
         .agg(
-            F.count("*").alias("mult"),
-            F.max(F.coalesce("requests", F.lit(0))).alias("requests"),
-            F.max(F.coalesce("paid_completed", F.lit(0))).alias("paid_completed"),
-            F.max("amount").alias("amount"),
+            F.expr("count(*) AS mult"),
+            F.expr("max(coalesce(requests, 0)) AS requests"),
+            F.expr("max(coalesce(paid_completed, 0)) AS paid_completed"),
+            F.expr("max(amount) AS amount"),
         )
     )
     stats = per_user.groupBy("platform").agg(
-        F.count("*").alias("signups"),
-        F.sum(F.col("mult") * F.col("requests")).alias("ride_requests"),
-        F.sum("paid_completed").alias("completed_rides"),
-        F.sum(F.col("amount") * F.col("mult")).alias("total_payment_amount"),
+        F.expr("count(*) AS signups"),
+        F.expr("sum(mult * requests) AS ride_requests"),
+        F.expr("sum(paid_completed) AS completed_rides"),
+        F.expr("sum(amount * mult) AS total_payment_amount"),
     )
-    joined = spine.join(stats, "platform", "left")
-    return joined.select(
+    return spine.join(stats, "platform", "left").selectExpr(
         "platform",
         "app_downloads",
-        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("signups", "ride_requests", "completed_rides")],
-        F.coalesce("total_payment_amount", F.lit(0)).cast("decimal(38,2)").alias("total_payment_amount"),
+        *[f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("signups", "ride_requests", "completed_rides")],
+        "CAST(coalesce(total_payment_amount, 0) AS DECIMAL(38,2)) AS total_payment_amount",
     )
-
-
-def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

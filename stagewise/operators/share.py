@@ -5,29 +5,27 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rates import pct
+from ..functions.rates import pct_sql
 
 
-def distinct_population(id_columns: Sequence[tuple[DataFrame, Column | str]]) -> DataFrame:
+def distinct_population(id_columns: Sequence[tuple[DataFrame, str]]) -> DataFrame:
     """One row, ``total_count``: distinct non-NULL ids over the union of columns.
 
     Ids are compared as text, so ids from different domains (download keys,
     session ids, user ids) are pooled as the reference pools them. Each
     branch is de-duplicated map-side before the one shuffle on the id.
     """
-    branches = [
-        df.select((F.col(c) if isinstance(c, str) else c).cast("string").alias("id")) for df, c in id_columns
-    ]
-    ids = reduce(DataFrame.union, branches).where(F.col("id").isNotNull()).distinct()
-    return ids.agg(F.count("*").cast("long").alias("total_count"))
+    branches = [df.selectExpr(f"CAST({c} AS STRING) AS id") for df, c in id_columns]
+    ids = reduce(DataFrame.union, branches).where("id IS NOT NULL").distinct()
+    return ids.agg(F.expr("count(*) AS total_count"))
 
 
 def share_of_population(
     counts: DataFrame,
-    id_columns: Sequence[tuple[DataFrame, Column | str]],
+    id_columns: Sequence[tuple[DataFrame, str]],
     scale: int = 2,
 ) -> DataFrame:
     """Add ``percentage_share = count / total * 100`` to stage counts.
@@ -36,6 +34,6 @@ def share_of_population(
     broadcasting it to the stage rows is bounded by construction.
     """
     total = F.broadcast(distinct_population(id_columns))
-    return counts.crossJoin(total).withColumn(
-        "percentage_share", pct(F.col("count"), F.col("total_count"), scale)
-    ).drop("total_count")
+    return counts.crossJoin(total).selectExpr(
+        *[f"`{c}`" for c in counts.columns], f"{pct_sql('`count`', 'total_count', scale)} AS percentage_share"
+    )

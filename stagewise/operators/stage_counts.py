@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.labels import quote
 from ..sources.tables import FunnelTables
 from .spec import Stage
 
@@ -19,10 +20,18 @@ def _group_by_source(stages: Sequence[Stage]) -> dict[tuple[str, str], list[Stag
     return groups
 
 
-def _flag(stage: Stage):
+def _flag_sql(stage: Stage) -> str:
     if stage.predicate is None:
-        return F.lit(1)
-    return F.coalesce(F.expr(stage.predicate), F.lit(False)).cast("int")
+        return "1"
+    return f"CAST(coalesce({stage.predicate}, FALSE) AS INT)"
+
+
+def unpivot_sql(rows: Sequence[Sequence[tuple[str, str]]]) -> str:
+    """``inline(array(named_struct(...), ...))``: one output row per struct."""
+    structs = [
+        "named_struct(" + ", ".join(f"{quote(name)}, {expr}" for name, expr in fields) + ")" for fields in rows
+    ]
+    return f"inline(array({', '.join(structs)}))"
 
 
 def stage_counts(tables: FunnelTables, stages: Sequence[Stage]) -> DataFrame:
@@ -34,30 +43,23 @@ def stage_counts(tables: FunnelTables, stages: Sequence[Stage]) -> DataFrame:
     summed. That equals ``COUNT(DISTINCT entity) ... WHERE predicate`` for
     every stage at once, without Catalyst's Expand (which would copy each row
     once per distinct aggregate). Partial aggregation collapses a hot entity
-    before the shuffle.
+    before the shuffle. The few result rows are unpivoted from the one-row
+    total in a single projection.
     """
     parts = []
     for (source, entity), group in _group_by_source(stages).items():
-        flags = [_flag(s).alias(f"f{i}") for i, s in enumerate(group)]
+        n = len(group)
         per_entity = (
             tables[source]
-            .select(F.expr(entity).alias("e"), *flags)
-            .where(F.col("e").isNotNull())
+            .selectExpr(f"{entity} AS e", *[f"{_flag_sql(s)} AS f{i}" for i, s in enumerate(group)])
+            .where("e IS NOT NULL")
             .groupBy("e")
-            .agg(*[F.max(f"f{i}").alias(f"f{i}") for i in range(len(group))])
-        )
-        totals = per_entity.agg(
-            *[F.coalesce(F.sum(f"f{i}"), F.lit(0)).cast("long").alias(f"c{i}") for i in range(len(group))]
-        )
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(s.name).alias("step"),
-                    F.lit(s.order).cast("int").alias("step_order"),
-                    F.col(f"c{i}").alias("count"),
-                )
-                for i, s in enumerate(group)
-            ]
+            .agg(*[F.expr(f"max(f{i}) AS f{i}") for i in range(n)])
         )
-        parts.append(totals.select(F.inline(rows)))
+        totals = per_entity.agg(*[F.expr(f"CAST(coalesce(sum(f{i}), 0) AS BIGINT) AS c{i}") for i in range(n)])
+        rows = [
+            [("step", quote(s.name)), ("step_order", f"CAST({s.order} AS INT)"), ("count", f"c{i}")]
+            for i, s in enumerate(group)
+        ]
+        parts.append(totals.selectExpr(unpivot_sql(rows)))
     return reduce(DataFrame.unionByName, parts)

@@ -7,15 +7,15 @@ unaggregated data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.rates import as_text, pct, pct_capped
+from ..functions.rates import as_text_sql, pct_capped_sql, pct_sql
 
 MODES = ("previous", "first", "running_max")
+_FRAME = "ORDER BY step_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
-def base_count(mode: str, count: str = "count", order: str = "step_order") -> Column:
+def base_count_sql(mode: str, count: str = "`count`") -> str:
     """The denominator of each step's rate.
 
     ``previous``: the count of the step before (NULL on the first step);
@@ -23,56 +23,43 @@ def base_count(mode: str, count: str = "count", order: str = "step_order") -> Co
     ``running_max``: the largest count so far. ``first`` and ``running_max``
     agree while counts do not grow and differ when a later step grows.
     """
-    w = Window.orderBy(order)
     if mode == "previous":
-        return F.lag(count).over(w)
+        return f"lag({count}) OVER (ORDER BY step_order)"
     if mode == "first":
-        return F.first(count).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return f"first({count}) OVER ({_FRAME})"
     if mode == "running_max":
-        return F.max(count).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return f"max({count}) OVER ({_FRAME})"
     raise ValueError(f"mode must be one of {MODES}: {mode!r}")
 
 
-def rate(
-    count: Column,
-    base: Column,
-    scale: int = 2,
-    cap: int | None = None,
-    zero_base: int | None = 0,
-) -> Column:
+def rate_sql(count: str, base: str, scale: int = 2, cap: int | None = None, zero_base: int | None = 0) -> str:
     """``count / base * 100`` as ``decimal(18, scale)``.
 
     ``zero_base``: value when the base is 0 (``None``: no rule, so NULL).
     ``cap``: ``least(rate, cap)``; LEAST skips NULLs, so the first step of a
     ``previous`` funnel then gets ``cap`` instead of NULL.
     """
-    value = pct_capped(count, base, scale, cap) if cap is not None else pct(count, base, scale)
+    value = pct_capped_sql(count, base, scale, cap) if cap is not None else pct_sql(count, base, scale)
     if zero_base is None:
         return value
-    return F.when(base == 0, F.lit(zero_base).cast(f"decimal(18,{scale})")).otherwise(value)
+    return f"CASE WHEN {base} = 0 THEN CAST({zero_base} AS DECIMAL(18,{scale})) ELSE {value} END"
 
 
-def rate_text(
-    count: Column,
-    base: Column,
-    scale: int = 1,
-    cap: int | None = None,
-    zero_base: int | None = 0,
-) -> Column:
-    """:func:`rate` rendered as ``'<rate>%'``.
+def rate_text_sql(count: str, base: str, scale: int = 1, cap: int | None = None, zero_base: int | None = 0) -> str:
+    """:func:`rate_sql` rendered as ``'<rate>%'``.
 
     The zero-base value keeps its own scale (``'0%'``), and a NULL rate
     renders as ``'%'``, as SQL CONCAT does.
     """
-    value = as_text(rate(count, base, scale, cap, zero_base=None))
+    value = as_text_sql(rate_sql(count, base, scale, cap, zero_base=None))
     if zero_base is None:
         return value
-    return F.when(base == 0, F.lit(f"{zero_base}%")).otherwise(value)
+    return f"CASE WHEN {base} = 0 THEN '{zero_base}%' ELSE {value} END"
 
 
-def drop_off_text(count: Column, base: Column, scale: int = 2, zero_base_text: str = "N/A") -> Column:
+def drop_off_text_sql(count: str, base: str, scale: int = 2, zero_base_text: str = "N/A") -> str:
     """``(base - count) / base * 100`` as text; negative when a step grows."""
-    return F.when(base == 0, F.lit(zero_base_text)).otherwise(as_text(pct(base - count, base, scale)))
+    return f"CASE WHEN {base} = 0 THEN '{zero_base_text}' ELSE {as_text_sql(pct_sql(f'{base} - {count}', base, scale))} END"
 
 
 def step_rates(
@@ -85,8 +72,6 @@ def step_rates(
     text: bool = False,
 ) -> DataFrame:
     """Add ``base_name`` and ``conversion_rate`` to ``step, step_order, count`` rows."""
-    out = counts.withColumn(base_name, base_count(mode))
-    make = rate_text if text else rate
-    return out.withColumn(
-        "conversion_rate", make(F.col("count"), F.col(base_name), scale, cap, zero_base)
-    )
+    with_base = counts.selectExpr("*", f"{base_count_sql(mode)} AS {base_name}")
+    make = rate_text_sql if text else rate_sql
+    return with_base.selectExpr("*", f"{make('`count`', base_name, scale, cap, zero_base)} AS conversion_rate")

@@ -9,6 +9,7 @@ the user side and the distinct counts become sums of 0/1 flags.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -22,31 +23,32 @@ def user_stage_flags(tables: FunnelTables, completed: str = "dropoff_ts IS NOT N
 
     ``reviewed`` needs a ride request of the same user: reviews reach a user
     only through the user's ride requests. Both sides come out of an
-    aggregation on ``user_id``, so the join adds no shuffle.
+    aggregation on ``user_id``, so the join adds no shuffle of its own.
     """
     rides = (
-        tables.ride_requests.where(F.col("user_id").isNotNull())
+        tables.ride_requests.where("user_id IS NOT NULL")
         .groupBy("user_id")
-        .agg(F.max(F.coalesce(F.expr(completed), F.lit(False)).cast("int")).alias("completed"))
+        .agg(F.expr(f"max(CAST(coalesce({completed}, FALSE) AS INT)) AS completed"))
     )
-    reviewers = (
-        tables.reviews.where(F.col("user_id").isNotNull())
-        .groupBy("user_id")
-        .agg(F.lit(1).alias("reviewed"))
-    )
-    return rides.join(reviewers, "user_id", "left").select(
-        "user_id",
-        F.lit(1).alias("requested"),
-        "completed",
-        F.coalesce("reviewed", F.lit(0)).alias("reviewed"),
+    reviewers = tables.reviews.where("user_id IS NOT NULL").groupBy("user_id").agg(F.expr("1 AS reviewed"))
+    return rides.join(reviewers, "user_id", "left").selectExpr(
+        "user_id", "1 AS requested", "completed", "coalesce(reviewed, 0) AS reviewed"
     )
 
 
-def _sum_parts(parts: list[DataFrame], keys: list[str], measures: list[str]) -> DataFrame:
-    """Union partial results that each fill some measures, then add them up by key."""
-    filled = [p.select(*keys, *[(F.col(m) if m in p.columns else F.lit(0)).cast("long").alias(m) for m in measures]) for p in parts]
+def sum_parts(parts: Sequence[DataFrame], keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Union partial results that each fill some measures, then add them up by key.
+
+    A re-aggregation over a union instead of a join of the parts: NULL keys
+    group together, and the parts are already aggregated, so the final
+    shuffle is small.
+    """
+    filled = [
+        p.selectExpr(*keys, *[f"CAST({m if m in p.columns else 0} AS BIGINT) AS {m}" for m in measures])
+        for p in parts
+    ]
     return reduce(DataFrame.unionByName, filled).groupBy(*keys).agg(
-        *[F.sum(m).cast("long").alias(m) for m in measures]
+        *[F.expr(f"CAST(sum({m}) AS BIGINT) AS {m}") for m in measures]
     )
 
 
@@ -61,28 +63,29 @@ def age_funnel_counts(tables: FunnelTables) -> DataFrame:
     age range equal signups when every signup has its own download.
     """
     ad, sg = tables.app_downloads, tables.signups
-    base = ad.join(sg, ad.app_download_key == sg.session_id).where(sg.age_range.isNotNull())
-    base = base.select(sg.age_range, ad.app_download_key, sg.user_id)
-
+    base = (
+        ad.join(sg, ad.app_download_key == sg.session_id)
+        .where(sg.age_range.isNotNull())
+        .select(sg.age_range, ad.app_download_key, sg.user_id)
+    )
     downloads = (
-        base.where(F.col("app_download_key").isNotNull())
+        base.where("app_download_key IS NOT NULL")
         .select("age_range", "app_download_key")
         .distinct()
         .groupBy("age_range")
-        .agg(F.count("*").alias("downloads"))
+        .agg(F.expr("count(*) AS downloads"))
     )
-    flags = user_stage_flags(tables)
     per_user = (
-        base.where(F.col("user_id").isNotNull())
+        base.where("user_id IS NOT NULL")
         .select("age_range", "user_id")
-        .join(flags, "user_id", "left")
+        .join(user_stage_flags(tables), "user_id", "left")
         .groupBy("age_range", "user_id")
-        .agg(*[F.max(F.coalesce(c, F.lit(0))).alias(c) for c in ("requested", "completed", "reviewed")])
+        .agg(*[F.expr(f"max(coalesce({c}, 0)) AS {c}") for c in ("requested", "completed", "reviewed")])
     )
     users = per_user.groupBy("age_range").agg(
-        F.count("*").alias("signups"),
-        F.sum("requested").alias("requests"),
-        F.sum("completed").alias("completed"),
-        F.sum("reviewed").alias("reviews"),
+        F.expr("count(*) AS signups"),
+        F.expr("sum(requested) AS requests"),
+        F.expr("sum(completed) AS completed"),
+        F.expr("sum(reviewed) AS reviews"),
     )
-    return _sum_parts([downloads, users], ["age_range"], AGE_MEASURES)
+    return sum_parts([downloads, users], ["age_range"], AGE_MEASURES)

@@ -19,7 +19,10 @@ from pyspark.sql import SparkSession
 #   runtime broadcast of sides that turn out small (a measured size check),
 #   and splitting of skewed join partitions (one user may own a third of rides).
 # - ANSI mode stays on: overflow and bad casts fail loudly instead of wrapping.
+# - No Python call-site capture: with it, every Column function costs extra
+#   JVM round trips, which dominated plan construction of the larger funnels.
 DEFAULT_CONF = {
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -27,6 +30,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.ansi.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 

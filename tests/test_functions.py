@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from stagewise.functions import age_label, age_sort_key, as_text, hour_segment, mean, pct, pct_capped
+from stagewise.functions import age_label, age_sort_key, as_text, hour_segment, mean, pct, pct_capped, pct_sql
 
 
 def _ref_pct(n: int, d: int, scale: int) -> Decimal | None:
@@ -49,7 +49,7 @@ def test_pct_ties_round_away_from_zero(spark):
 def test_pct_capped_and_text(spark):
     df = spark.createDataFrame([(5, 4), (3, 4), (3, None), (0, 0)], "n long, d long")
     rows = df.select(
-        pct_capped("n", "d", 2, 100).alias("c"), as_text(pct("n", "d", 2)).alias("t")
+        pct_capped("n", "d", 2, 100).alias("c"), as_text(pct_sql("n", "d", 2)).alias("t")
     ).collect()
     assert [r.c for r in rows] == [Decimal("100.00"), Decimal("75.00"), Decimal("100.00"), Decimal("100.00")]
     assert [r.t for r in rows] == ["125.00%", "75.00%", "%", "%"]
