@@ -3,8 +3,8 @@
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
 The five funnel tables are derived from the driver's tables once and written
-to a fresh scratch folder (the derivation time is reported as
-``derive_sec``); each query then runs against those Parquet tables, once to
+to a fresh folder under ``spark.checkpoint.dir`` (a local scratch folder
+only when the setting is unset; the time is reported as ``derive_sec``); each query then runs against those Parquet tables, once to
 warm up and ``BENCH_REPS`` times timed, executing the whole plan through the
 ``noop`` sink (no collect to the driver). The naive, reference-shaped SQL of
 the rewritten queries (R1: age funnel, R2: dashboard funnels) is timed the
@@ -17,7 +17,6 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -26,7 +25,7 @@ from stagewise.plans.oracle import Q as ORACLE_QUERIES  # noqa: E402
 from stagewise.plans.oracle import build  # noqa: E402
 from stagewise.plans.queries import PLANS  # noqa: E402
 from stagewise.session import build_session  # noqa: E402
-from stagewise.sources import derive_tables, read_tables, write_tables  # noqa: E402
+from stagewise.sources import materialize_tables  # noqa: E402
 
 # Reference-shaped statements that Spark SQL also parses (no DuckDB-only
 # functions), compared against their rewrites.
@@ -53,9 +52,9 @@ def main() -> None:
         shuffle_partitions=cpus,
         extra_conf={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")},
     )
-    scratch = tempfile.mkdtemp(prefix="stagewise-bench-")
-    derive_sec = timed(lambda: write_tables(derive_tables(spark, sf_dir), scratch))
-    tables = read_tables(spark, scratch)
+    t0 = time.perf_counter()
+    tables, _ = materialize_tables(spark, sf_dir)
+    derive_sec = time.perf_counter() - t0
 
     medians: dict[str, float] = {}
     for name, plan in PLANS.items():

@@ -35,7 +35,8 @@ def bucket_hours(
         F.expr("count(*) AS hours"),
         F.expr("min(hour_of_day) AS first_hour"),
     )
-    return out.orderBy(F.expr("first_hour").asc_nulls_last()).selectExpr(
+    # one row per rule plus the catch-all: sorted in a single task
+    return out.coalesce(1).sortWithinPartitions(F.col("first_hour").asc_nulls_last()).selectExpr(
         "request_segment",
         "total_request_count",
         f"{mean_sql('total_request_count', 'hours', scale)} AS average_per_hour_ride",

@@ -9,10 +9,12 @@ segment, then UNION the branches. Here each input is scanned once:
 * ride rows: ride requests carrying one 0/1 flag per ride step (``paid`` and
   ``reviewed`` come from transactions and reviews reduced to distinct
   ``ride_id`` first), joined to the users' segments;
-* two aggregations of the ride rows, by (segment, user) and by (segment,
-  ride), turn the flags into exact distinct counts for all ride steps at
-  once; the first needs no shuffle of its own when the ride rows arrive
-  partitioned by ``user_id`` from a shuffle join.
+* one aggregation of the ride rows keyed by (segment, user) and by
+  (segment, ride) in the same exchange turns the flags into exact distinct
+  counts for all ride steps at once. Because it shuffles on its own keys,
+  adaptive execution may split a skewed join partition (one user owning a
+  large share of the rides) without adding a shuffle, and partial
+  aggregation collapses the hot user's rows before the exchange.
 
 Each branch of the naive form emits a row for a segment only if a row
 qualifies; that is kept through a ``present`` flag. No step uses Expand.
@@ -113,36 +115,40 @@ def _ride_rows(tables: FunnelTables, steps: Sequence[SegmentStep], user_dims: Da
     return flagged.join(user_dims, "user_id")
 
 
-def _ride_parts(rows: DataFrame, steps: Sequence[SegmentStep], dims: list[str]) -> list[DataFrame]:
-    fs = [f"f{s.order}" for s in steps]
-    per_user = rows.groupBy(*dims, "user_id").agg(*[F.expr(f"max({f}) AS {f}") for f in fs])
-    users = per_user.groupBy(*dims).agg(
-        *[F.expr(f"coalesce(sum({f}), 0) AS u{f}") for f in fs],
-        *[F.expr(f"coalesce(max({f}), 0) AS p{f}") for f in fs],
+def _two_grain_counts(rows: DataFrame, steps: Sequence[SegmentStep], dims: list[str], flags: list[str]) -> DataFrame:
+    """Distinct users and distinct rides per segment for several 0/1 flags at once.
+
+    Each row is emitted twice, keyed by its user (kind 0) and by its ride
+    (kind 1), and reduced to one row per (segment, kind, id) with the max of
+    every flag; summing the flags per segment then counts distinct users and
+    distinct non-NULL rides. One exchange carries both grains (narrow rows,
+    doubled), where Catalyst's Expand would copy each row once per distinct
+    aggregate and step. Presence of a segment comes from the user rows (every
+    qualifying row has a user). All steps leave in one unpivot.
+    """
+    with_rides = any(s.rides for s in steps)
+    keys = "named_struct('kind', 0, 'id', user_id)" + (", named_struct('kind', 1, 'id', ride_id)" if with_rides else "")
+    keyed = rows.selectExpr(*dims, *flags, f"inline(array({keys}))")
+    per_id = keyed.groupBy(*dims, "kind", "id").agg(*[F.expr(f"max({f}) AS {f}") for f in flags])
+    per_dims = per_id.groupBy(*dims).agg(
+        *[F.expr(f"coalesce(sum(CASE WHEN kind = 0 THEN {f} END), 0) AS u_{f}") for f in flags],
+        *[F.expr(f"coalesce(max(CASE WHEN kind = 0 THEN {f} END), 0) AS p_{f}") for f in flags],
+        *[
+            F.expr(f"coalesce(sum(CASE WHEN kind = 1 AND id IS NOT NULL THEN {f} END), 0) AS r_{f}")
+            for f in flags
+            if with_rides
+        ],
+    )
+    return _rows(
+        per_dims,
+        dims,
+        [_row(s, f"u_{f}", f"r_{f}" if with_rides else "0", f"p_{f}") for s, f in zip(steps, flags)],
     )
-    parts = [_rows(users, dims, [_row(s, f"uf{s.order}", "0", f"pf{s.order}") for s in steps])]
-    counted = [s for s in steps if s.rides]
-    if counted:
-        per_ride = rows.groupBy(*dims, "ride_id").agg(*[F.expr(f"max(f{s.order}) AS f{s.order}") for s in counted])
-        totals = per_ride.groupBy(*dims).agg(
-            *[
-                F.expr(f"coalesce(sum(CASE WHEN ride_id IS NOT NULL THEN f{s.order} END), 0) AS rf{s.order}")
-                for s in counted
-            ]
-        )
-        parts.append(_rows(totals, dims, [_row(s, "0", f"rf{s.order}", "0") for s in counted]))
-    return parts
 
 
 def _count_per_dims(df: DataFrame, dims: list[str], col: str) -> DataFrame:
     """Distinct non-NULL ``col`` per segment, as two plain aggregations."""
-    return (
-        df.where(f"{col} IS NOT NULL")
-        .select(*dims, col)
-        .distinct()
-        .groupBy(*dims)
-        .agg(F.expr("count(*) AS n"))
-    )
+    return df.where(f"{col} IS NOT NULL").select(*dims, col).distinct().groupBy(*dims).agg(F.expr("count(*) AS n"))
 
 
 def segmented_funnel(
@@ -181,16 +187,19 @@ def segmented_funnel(
                 users = users.join(qualified, "user_id", "left_semi")
             parts.append(_rows(_count_per_dims(users, names, "user_id"), names, [_row(s, "n", "0", "n > 0")]))
         elif s.grain == "user_review":
-            rows = tables.reviews.where("user_id IS NOT NULL").select("user_id", "ride_id").join(user_dims, "user_id")
-            parts.append(_rows(_count_per_dims(rows, names, "user_id"), names, [_row(s, "n", "0", "n > 0")]))
-            parts.append(_rows(_count_per_dims(rows, names, "ride_id"), names, [_row(s, "0", "n", "0")]))
+            rows = (
+                tables.reviews.where("user_id IS NOT NULL")
+                .selectExpr("user_id", "ride_id", "1 AS f")
+                .join(user_dims, "user_id")
+            )
+            parts.append(_two_grain_counts(rows, [s], names, ["f"]))
     ride_steps = [s for s in steps if s.grain == "ride"]
     if ride_steps:
-        parts += _ride_parts(_ride_rows(tables, ride_steps, user_dims), ride_steps, names)
+        rows = _ride_rows(tables, ride_steps, user_dims)
+        parts.append(_two_grain_counts(rows, ride_steps, names, [f"f{s.order}" for s in ride_steps]))
 
-    merged = reduce(DataFrame.unionByName, parts).groupBy("step", "name", *names).agg(
-        F.expr("sum(users) AS users"), F.expr("sum(rides) AS rides"), F.expr("max(present) AS present")
-    )
+    # every part holds complete rows for its own steps: no re-aggregation
+    merged = reduce(DataFrame.unionByName, parts)
     if not keep_empty:
         merged = merged.where("present = 1")
     absent_sql = "CAST(NULL AS BIGINT)" if absent is None else f"CAST({absent} AS BIGINT)"

@@ -129,6 +129,12 @@ def pct_of_previous_wide(t: FunnelTables) -> DataFrame:
 
 # ---- step funnels ------------------------------------------------------
 
+def _sorted_small(df: DataFrame, *keys) -> DataFrame:
+    """Sort a result whose row count is bounded by construction (steps, hours,
+    fixed segments): one task sorts it, with no range-partitioning pass."""
+    return df.coalesce(1).sortWithinPartitions(*keys)
+
+
 def _ordered(df: DataFrame, *cols: str) -> DataFrame:
     return df.orderBy("step_order").select(*cols)
 
@@ -251,7 +257,8 @@ def age_funnel_conversion(t: FunnelTables) -> DataFrame:
 
 
 def requests_by_hour(t: FunnelTables) -> DataFrame:
-    return hourly_profile(t.ride_requests).orderBy(F.expr("hour_of_day").asc_nulls_last())
+    # at most 25 rows: hours 0-23 and NULL
+    return _sorted_small(hourly_profile(t.ride_requests), F.col("hour_of_day").asc_nulls_last())
 
 
 def requests_by_day_segment(t: FunnelTables) -> DataFrame:
@@ -293,7 +300,8 @@ ALT_STEPS = (
 def general_funnel(t: FunnelTables) -> DataFrame:
     """Seven steps over users reachable from a download; ride counts from step 3."""
     out = segmented_funnel(t, GENERAL_STEPS, keep_empty=True, absent=None)
-    return out.orderBy("step").selectExpr(
+    # one row per step (no segments)
+    return _sorted_small(out, "step").selectExpr(
         "step AS funnel_step", "name AS funnel_name", "users AS user_count", "rides AS ride_count"
     )
 

@@ -3,7 +3,7 @@
 from .derive import derive_tables
 from .schemas import SCHEMAS, TABLE_NAMES
 from .sinks import write_dashboard_dataset
-from .tables import FunnelTables, conform, load_tables, read_tables, write_tables
+from .tables import FunnelTables, conform, load_tables, materialize_tables, read_tables, write_tables
 
 __all__ = [
     "FunnelTables",
@@ -12,6 +12,7 @@ __all__ = [
     "conform",
     "derive_tables",
     "load_tables",
+    "materialize_tables",
     "read_tables",
     "write_tables",
     "write_dashboard_dataset",

@@ -73,3 +73,21 @@ def load_tables(spark: SparkSession, base: str) -> FunnelTables:
     from .derive import derive_tables
 
     return derive_tables(spark, base)
+
+
+def materialize_tables(spark: SparkSession, source: str, dest: str | None = None) -> tuple[FunnelTables, str]:
+    """Write the funnel tables of ``source`` as Parquet and read them back.
+
+    ``dest`` defaults to a fresh folder under the session's
+    ``spark.checkpoint.dir`` (the shared folder a cluster names), so later
+    jobs read stored tables instead of re-running the derivation, and a lost
+    executor costs a re-read rather than a recomputation of the lineage.
+    """
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+
+    if dest is None:
+        dest = f"{ensure_checkpoint_dir(spark).rstrip('/')}/funnel-tables-{uuid.uuid4().hex[:12]}"
+    write_tables(load_tables(spark, source), dest)
+    return read_tables(spark, dest), dest
