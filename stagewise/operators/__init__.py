@@ -1,0 +1,38 @@
+"""Funnel operators: DataFrame in, DataFrame out."""
+
+from .duration import stage_duration
+from .hourly import bucket_hours, hourly_profile
+from .segmented import SegmentStep, segmented_funnel
+from .segments import platform_scorecard, ride_requests_by_platform, segment_counts, user_platforms, user_ride_activity
+from .share import distinct_population, share_of_population
+from .spec import FunnelSpec, Stage, spec
+from .stage_counts import stage_counts
+from .step_rates import base_count_sql, drop_off_text_sql, rate_sql, rate_text_sql, step_rates
+from .user_flags import age_funnel_counts, sum_parts, user_stage_flags
+
+__all__ = [
+    "FunnelSpec",
+    "SegmentStep",
+    "Stage",
+    "age_funnel_counts",
+    "base_count_sql",
+    "bucket_hours",
+    "distinct_population",
+    "drop_off_text_sql",
+    "hourly_profile",
+    "platform_scorecard",
+    "rate_sql",
+    "rate_text_sql",
+    "ride_requests_by_platform",
+    "segment_counts",
+    "segmented_funnel",
+    "share_of_population",
+    "spec",
+    "stage_counts",
+    "stage_duration",
+    "step_rates",
+    "sum_parts",
+    "user_platforms",
+    "user_ride_activity",
+    "user_stage_flags",
+]

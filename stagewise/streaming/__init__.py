@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference answers its questions with batch SQL over five tables; it has
+no streams, event-time windows, watermarks, state or late data. The batch
+operators in :mod:`stagewise.operators` are the whole feature set.
+"""
