@@ -31,4 +31,25 @@ def edge_dir(spark, tmp_path_factory):
     base = tmp_path_factory.mktemp("edge")
     for variant in ("base", "empty", "growing", "duplicates"):
         write_tables(edge_fixture.tables(spark, variant), str(base / variant))
+    write_tables(hot_user_tables(spark, SF_SMALL), str(base / "hot_user"))
     return base
+
+
+HOT_USER = 1000001
+
+
+def hot_user_tables(spark, sf_dir):
+    """Driver-derived tables where one user owns a third of all rides and their reviews."""
+    from pyspark.sql import functions as F
+
+    from stagewise.sources import FunnelTables, derive_tables
+
+    t = derive_tables(spark, sf_dir)
+    hot = F.expr(f"CASE WHEN ride_id % 3 = 0 THEN {HOT_USER} ELSE user_id END")
+    return FunnelTables(
+        t.app_downloads,
+        t.signups,
+        t.ride_requests.withColumn("user_id", hot),
+        t.transactions,
+        t.reviews.withColumn("user_id", hot),
+    )

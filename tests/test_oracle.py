@@ -13,6 +13,7 @@ from stagewise.plans.queries import PLANS
 from stagewise.sources.tables import read_tables
 
 NAMES = sorted(PLANS)
+VARIANTS = ["base", "empty", "growing", "duplicates", "hot_user"]
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +40,7 @@ def edge_cons(spark, edge_dir):
     import duckdb
 
     out = {}
-    for variant in ("base", "empty", "growing", "duplicates"):
+    for variant in VARIANTS:
         con = duckdb.connect()
         for name in ("app_downloads", "signups", "ride_requests", "transactions", "reviews"):
             con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{edge_dir / variant / name}.parquet/*.parquet')")
@@ -47,7 +48,7 @@ def edge_cons(spark, edge_dir):
     return out
 
 
-@pytest.mark.parametrize("variant", ["base", "empty", "growing", "duplicates"])
+@pytest.mark.parametrize("variant", VARIANTS)
 @pytest.mark.parametrize("name", NAMES)
 def test_edge_variants(edge_cons, variant, name):
     con, tables = edge_cons[variant]

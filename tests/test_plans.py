@@ -63,3 +63,36 @@ def test_no_distinct_union_aggregate(t):
     """Step counts are unioned with UNION ALL: no aggregate over the step rows."""
     plan = plan_of(PLANS["funnel_lowest_conversion"](t))
     assert "keys=[step" not in plan
+
+
+SKEW_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+@pytest.mark.parametrize("name", ["general_funnel", "segmented_funnel", "segmented_funnel_alt"])
+def test_hot_user_join_is_split(spark, name):
+    """With one user owning a third of the rides, adaptive execution splits the
+    skewed partition of the ride-to-user join (the aggregation after it
+    shuffles on its own keys, so splitting adds no exchange)."""
+    from conftest import SF_MID, hot_user_tables
+
+    old = {k: spark.conf.get(k, None) for k in SKEW_CONF}
+    try:
+        for k, v in SKEW_CONF.items():
+            spark.conf.set(k, v)
+        df = PLANS[name](hot_user_tables(spark, SF_MID))
+        df.collect()
+        plan = plan_of(df).split("Initial Plan")[0]
+        assert "SortMergeJoin(skew=true) [user_id" in plan
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
