@@ -126,23 +126,26 @@ def _two_grain_counts(rows: DataFrame, steps: Sequence[SegmentStep], dims: list[
     aggregate and step. Presence of a segment comes from the user rows (every
     qualifying row has a user). All steps leave in one unpivot.
     """
-    with_rides = any(s.rides for s in steps)
+    ride_flags = [f for s, f in zip(steps, flags) if s.rides]
+    with_rides = bool(ride_flags)
     keys = "named_struct('kind', 0, 'id', user_id)" + (", named_struct('kind', 1, 'id', ride_id)" if with_rides else "")
     keyed = rows.selectExpr(*dims, *flags, f"inline(array({keys}))")
+    if with_rides and len(ride_flags) < len(flags):
+        # a ride-keyed copy only matters when a ride-counting step holds for it
+        keyed = keyed.where(f"kind = 0 OR {' OR '.join(f'{f} = 1' for f in ride_flags)}")
     per_id = keyed.groupBy(*dims, "kind", "id").agg(*[F.expr(f"max({f}) AS {f}") for f in flags])
     per_dims = per_id.groupBy(*dims).agg(
         *[F.expr(f"coalesce(sum(CASE WHEN kind = 0 THEN {f} END), 0) AS u_{f}") for f in flags],
         *[F.expr(f"coalesce(max(CASE WHEN kind = 0 THEN {f} END), 0) AS p_{f}") for f in flags],
         *[
             F.expr(f"coalesce(sum(CASE WHEN kind = 1 AND id IS NOT NULL THEN {f} END), 0) AS r_{f}")
-            for f in flags
-            if with_rides
+            for f in ride_flags
         ],
     )
     return _rows(
         per_dims,
         dims,
-        [_row(s, f"u_{f}", f"r_{f}" if with_rides else "0", f"p_{f}") for s, f in zip(steps, flags)],
+        [_row(s, f"u_{f}", f"r_{f}" if f in ride_flags else "0", f"p_{f}") for s, f in zip(steps, flags)],
     )
 
 
