@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from ..functions.rates import as_text_sql, pct_capped_sql, pct_sql
 
 MODES = ("previous", "first", "running_max")
+BASE_NAMES = {"previous": "previous_count", "first": "first_count", "running_max": "max_count"}
 _FRAME = "ORDER BY step_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
@@ -68,10 +69,12 @@ def step_rates(
     scale: int = 2,
     cap: int | None = None,
     zero_base: int | None = 0,
-    base_name: str = "previous_count",
+    base_name: str | None = None,
     text: bool = False,
 ) -> DataFrame:
-    """Add ``base_name`` and ``conversion_rate`` to ``step, step_order, count`` rows."""
+    """Add the denominator (``base_name``, by default named after the mode)
+    and ``conversion_rate`` to ``step, step_order, count`` rows."""
+    base_name = base_name or BASE_NAMES[mode]
     with_base = counts.selectExpr("*", f"{base_count_sql(mode)} AS {base_name}")
     make = rate_text_sql if text else rate_sql
     return with_base.selectExpr("*", f"{make('`count`', base_name, scale, cap, zero_base)} AS conversion_rate")

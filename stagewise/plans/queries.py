@@ -139,6 +139,13 @@ def _ordered(df: DataFrame, *cols: str) -> DataFrame:
     return df.orderBy("step_order").select(*cols)
 
 
+def _listed(rates: DataFrame, stages) -> DataFrame:
+    """Keep the listed steps, filtering *after* the rate window (the window
+    needs every step's count; the filter must not move below it)."""
+    names = ", ".join(quote(s.name) for s in stages)
+    return rates.where(f"step IN ({names})")
+
+
 def funnel_step_conversion(t: FunnelTables) -> DataFrame:
     rates = step_rates(stage_counts(t, USER_FUNNEL), "previous", scale=2)
     return _ordered(rates, "step", "count", "previous_count", "conversion_rate")
@@ -158,31 +165,31 @@ def funnel_lowest_conversion(t: FunnelTables) -> DataFrame:
 
 def pct_of_previous_long(t: FunnelTables) -> DataFrame:
     rates = step_rates(stage_counts(t, TOP_FUNNEL), "previous", scale=1, text=True)
-    return _ordered(rates, "step", "conversion_rate")
+    return _ordered(_listed(rates, TOP_FUNNEL), "step", "conversion_rate")
 
 
 def pct_of_running_max(t: FunnelTables) -> DataFrame:
     rates = step_rates(stage_counts(t, TOP_FUNNEL), "running_max", scale=1, base_name="max_count", text=True)
-    return _ordered(rates, "step", "conversion_rate")
+    return _ordered(_listed(rates, TOP_FUNNEL), "step", "conversion_rate")
 
 
 def pct_of_top_first_value(t: FunnelTables) -> DataFrame:
     rates = step_rates(
         stage_counts(t, TOP_FUNNEL), "first", scale=1, zero_base=None, base_name="first_count", text=True
     )
-    return _ordered(rates, "step", "conversion_rate")
+    return _ordered(_listed(rates, TOP_FUNNEL), "step", "conversion_rate")
 
 
 def pct_of_previous_from_signup(t: FunnelTables) -> DataFrame:
     rates = step_rates(stage_counts(t, SIGNUP_FUNNEL), "previous", scale=1, text=True)
-    return _ordered(rates, "step", "conversion_rate")
+    return _ordered(_listed(rates, SIGNUP_FUNNEL), "step", "conversion_rate")
 
 
 def pct_of_top_from_signup(t: FunnelTables) -> DataFrame:
     rates = step_rates(
         stage_counts(t, SIGNUP_TOP_FUNNEL), "first", scale=1, zero_base=None, base_name="first_count", text=True
     )
-    return _ordered(rates, "step", "conversion_rate")
+    return _ordered(_listed(rates, SIGNUP_TOP_FUNNEL), "step", "conversion_rate")
 
 
 def step_share_of_total(t: FunnelTables) -> DataFrame:
