@@ -149,6 +149,33 @@ def _two_grain_counts(rows: DataFrame, steps: Sequence[SegmentStep], dims: list[
     )
 
 
+def _download_signup_counts(base: DataFrame, dims: list[str], steps: Sequence[SegmentStep]) -> DataFrame:
+    """Download steps (distinct keys) and unconditional signup steps (distinct
+    users) from one aggregation over the download-signup rows.
+
+    As in :func:`_two_grain_counts`, each row is keyed once by its download
+    and once by its user. A segment appears for every download row, so a
+    download step is present wherever the segment exists.
+    """
+    keyed = base.selectExpr(
+        *dims,
+        "inline(array(named_struct('kind', 0, 'k', app_download_key, 'u', CAST(NULL AS BIGINT)),"
+        " named_struct('kind', 1, 'k', CAST(NULL AS STRING), 'u', user_id)))",
+    )
+    per_dims = (
+        keyed.distinct()
+        .groupBy(*dims)
+        .agg(
+            F.expr("count(CASE WHEN kind = 0 AND k IS NOT NULL THEN 1 END) AS n_dl"),
+            F.expr("count(CASE WHEN kind = 1 AND u IS NOT NULL THEN 1 END) AS n_su"),
+        )
+    )
+    rows = [
+        _row(s, "n_dl", "0", "1") if s.grain == "download" else _row(s, "n_su", "0", "n_su > 0") for s in steps
+    ]
+    return _rows(per_dims, dims, rows)
+
+
 def _count_per_dims(df: DataFrame, dims: list[str], col: str) -> DataFrame:
     """Distinct non-NULL ``col`` per segment, as two plain aggregations."""
     return df.where(f"{col} IS NOT NULL").select(*dims, col).distinct().groupBy(*dims).agg(F.expr("count(*) AS n"))
@@ -179,15 +206,14 @@ def segmented_funnel(
     user_dims = base.where("user_id IS NOT NULL").select("user_id", *names)
 
     parts: list[DataFrame] = []
+    plain = [s for s in steps if s.grain == "download" or (s.grain == "signup" and s.predicate is None)]
+    if plain:
+        parts.append(_download_signup_counts(base, names, plain))
     for s in steps:
-        if s.grain == "download":
-            counted = base.groupBy(*names).agg(F.expr("count(DISTINCT app_download_key) AS n"))
-            parts.append(_rows(counted, names, [_row(s, "n", "0", "1")]))
-        elif s.grain == "signup":
-            users = user_dims
-            if s.predicate is not None:
-                qualified = tables.signups.where(s.predicate).select("user_id")
-                users = users.join(qualified, "user_id", "left_semi")
+        if s.grain == "signup" and s.predicate is not None:
+            # a user qualifies through any of their signup rows, in every segment of the user
+            qualified = tables.signups.where(s.predicate).select("user_id")
+            users = user_dims.join(qualified, "user_id", "left_semi")
             parts.append(_rows(_count_per_dims(users, names, "user_id"), names, [_row(s, "n", "0", "n > 0")]))
         elif s.grain == "user_review":
             rows = (

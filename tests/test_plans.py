@@ -36,8 +36,10 @@ def test_segmented_funnel_steps_share_one_aggregate(t):
     df = PLANS["segmented_funnel"](t)
     df.collect()
     plan = plan_of(df).split("Initial Plan")[0]
-    # downloads/signups/ride-user/ride-ride parts: ride_requests read by the two ride aggregates only
+    # ride_requests is read once
     assert plan.count("ride_requests.parquet") <= 2
+    # two keyed aggregations (downloads+signups, ride steps), each with one
+    # keying and one unpivot generator: no per-step branches
     assert plan.count("Generate inline") == 4
 
 
