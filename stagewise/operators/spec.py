@@ -60,7 +60,3 @@ TEXT_ID_FUNNEL = spec(
     ("Completed_Rides", "ride_requests", "CAST(user_id AS STRING)", "dropoff_ts IS NOT NULL"),
     ("Reviews", "reviews", "CAST(user_id AS STRING)"),
 )
-
-
-def stage_names(stages: Sequence[Stage]) -> list[str]:
-    return [s.name for s in stages]
