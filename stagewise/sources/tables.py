@@ -35,11 +35,21 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence check through Hadoop's FileSystem, so it works for any URI."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
+    """Existence check through Hadoop's FileSystem, so it works for any URI.
+
+    Sessions without JVM access (Spark Connect) fall back to a tiny read.
+    """
+    try:
+        jvm = spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return bool(fs.exists(hpath))
+    except Exception:  # no sparkContext on this session
+        try:
+            spark.read.parquet(path).schema
+            return True
+        except Exception:
+            return False
 
 
 def has_funnel_tables(spark: SparkSession, base: str) -> bool:

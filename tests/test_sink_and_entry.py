@@ -23,3 +23,12 @@ def test_entry_contract(spark):
     assert df.count() == 646  # FIXTURES.md: Q32 rows at sf0.001
     assert set(entry.queries()) == set(entry.oracle_sql())
     assert len(entry.queries()) == 33
+
+
+def test_materialize_under_checkpoint_dir(spark):
+    from stagewise.session import ensure_checkpoint_dir
+    from stagewise.sources import materialize_tables
+
+    tables, dest = materialize_tables(spark, "/root/testdata/sf0.001")
+    assert dest.startswith(ensure_checkpoint_dir(spark).rstrip("/"))
+    assert tables.ride_requests.count() == 938
