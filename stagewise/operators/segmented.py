@@ -149,6 +149,23 @@ def _two_grain_counts(rows: DataFrame, steps: Sequence[SegmentStep], dims: list[
     )
 
 
+def _downloads_with_signups(tables: FunnelTables) -> DataFrame:
+    """``app_downloads LEFT JOIN signups ON app_download_key = session_id``,
+    written as the inner join plus the downloads without any signup.
+
+    Same rows as the outer join, but skew-safe: adaptive execution can split
+    a hot key on either side of an inner join (only on the preserved side of
+    an outer one), and the anti join meets session ids that were made
+    distinct map-side, so a session shared by many signups collapses first.
+    """
+    ad, sg = tables.app_downloads, tables.signups
+    matched = ad.join(sg, ad.app_download_key == sg.session_id)
+    sessions = sg.select("session_id").distinct()
+    unmatched = ad.join(sessions, ad.app_download_key == sessions.session_id, "left_anti")
+    nulls = [f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in sg.schema.fields]
+    return matched.unionByName(unmatched.selectExpr(*ad.columns, *nulls))
+
+
 def _download_signup_counts(base: DataFrame, dims: list[str], steps: Sequence[SegmentStep]) -> DataFrame:
     """Download steps (distinct keys) and unconditional signup steps (distinct
     users) from one aggregation over the download-signup rows.
@@ -200,9 +217,9 @@ def segmented_funnel(
         if s.grain not in GRAINS:
             raise ValueError(f"unknown grain {s.grain!r} in step {s.name!r}")
     names = [n for n, _ in dims]
-    ad, sg = tables.app_downloads, tables.signups
-    joined = ad.join(sg, ad.app_download_key == sg.session_id, "left")
-    base = joined.selectExpr(*[f"{e} AS {n}" for n, e in dims], "app_download_key", "user_id")
+    base = _downloads_with_signups(tables).selectExpr(
+        *[f"{e} AS {n}" for n, e in dims], "app_download_key", "user_id"
+    )
     user_dims = base.where("user_id IS NOT NULL").select("user_id", *names)
 
     parts: list[DataFrame] = []

@@ -32,6 +32,7 @@ def edge_dir(spark, tmp_path_factory):
     for variant in ("base", "empty", "growing", "duplicates"):
         write_tables(edge_fixture.tables(spark, variant), str(base / variant))
     write_tables(hot_user_tables(spark, SF_SMALL), str(base / "hot_user"))
+    write_tables(hot_session_tables(spark, SF_SMALL), str(base / "hot_session"))
     return base
 
 
@@ -53,3 +54,23 @@ def hot_user_tables(spark, sf_dir):
         t.transactions,
         t.reviews.withColumn("user_id", hot),
     )
+
+
+HOT_SESSION = "dl-1"
+
+
+def hot_session_tables(spark, sf_dir):
+    """Driver-derived tables where a third of all signups share one session id.
+
+    The signups are spread over several partitions, as a large table would be:
+    adaptive execution splits a skewed reduce partition along map tasks, and a
+    single small input file would give it only one.
+    """
+    from pyspark.sql import functions as F
+
+    from stagewise.sources import FunnelTables, derive_tables
+
+    t = derive_tables(spark, sf_dir)
+    hot = F.expr(f"CASE WHEN user_id % 3 = 0 THEN '{HOT_SESSION}' ELSE session_id END")
+    signups = t.signups.withColumn("session_id", hot).repartition(8)
+    return FunnelTables(t.app_downloads, signups, t.ride_requests, t.transactions, t.reviews)

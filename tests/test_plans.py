@@ -77,6 +77,20 @@ SKEW_CONF = {
 }
 
 
+def _with_conf(spark, conf, fn):
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        return fn()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("name", ["general_funnel", "segmented_funnel", "segmented_funnel_alt"])
 def test_hot_user_join_is_split(spark, name):
     """With one user owning a third of the rides, adaptive execution splits the
@@ -84,17 +98,9 @@ def test_hot_user_join_is_split(spark, name):
     shuffles on its own keys, so splitting adds no exchange)."""
     from conftest import SF_MID, hot_user_tables
 
-    old = {k: spark.conf.get(k, None) for k in SKEW_CONF}
-    try:
-        for k, v in SKEW_CONF.items():
-            spark.conf.set(k, v)
+    def run():
         df = PLANS[name](hot_user_tables(spark, SF_MID))
         df.collect()
-        plan = plan_of(df).split("Initial Plan")[0]
-        assert "SortMergeJoin(skew=true) [user_id" in plan
-    finally:
-        for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+        return plan_of(df).split("Initial Plan")[0]
+
+    assert "SortMergeJoin(skew=true) [user_id" in _with_conf(spark, SKEW_CONF, run)
