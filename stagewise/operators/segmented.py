@@ -149,43 +149,53 @@ def _two_grain_counts(rows: DataFrame, steps: Sequence[SegmentStep], dims: list[
     )
 
 
-def _downloads_with_signups(tables: FunnelTables) -> DataFrame:
-    """``app_downloads LEFT JOIN signups ON app_download_key = session_id``,
-    written as the inner join plus the downloads without any signup.
-
-    Same rows as the outer join, but skew-safe: adaptive execution can split
-    a hot key on either side of an inner join (only on the preserved side of
-    an outer one), and the anti join meets session ids that were made
+def _download_signup_parts(tables: FunnelTables) -> tuple[DataFrame, DataFrame]:
+    """``app_downloads LEFT JOIN signups ON app_download_key = session_id`` as
+    two disjoint parts: the inner join, and the downloads without a signup
+    (signup columns NULL).
+
+    Together they are the outer join's rows, but skew-safe: adaptive execution
+    can split a hot key on either side of an inner join (only on the
+    preserved side of an outer one), and the anti join meets session ids made
     distinct map-side, so a session shared by many signups collapses first.
+    Each part is aggregated on its own, so the inner join keeps a stage to
+    itself, which the skew split needs.
     """
     ad, sg = tables.app_downloads, tables.signups
     matched = ad.join(sg, ad.app_download_key == sg.session_id)
     sessions = sg.select("session_id").distinct()
     unmatched = ad.join(sessions, ad.app_download_key == sessions.session_id, "left_anti")
     nulls = [f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in sg.schema.fields]
-    return matched.unionByName(unmatched.selectExpr(*ad.columns, *nulls))
+    return matched, unmatched.selectExpr(*ad.columns, *nulls)
 
 
-def _download_signup_counts(base: DataFrame, dims: list[str], steps: Sequence[SegmentStep]) -> DataFrame:
+def _download_signup_counts(parts: Sequence[DataFrame], dims: list[str], steps: Sequence[SegmentStep]) -> DataFrame:
     """Download steps (distinct keys) and unconditional signup steps (distinct
-    users) from one aggregation over the download-signup rows.
+    users) per segment.
 
     As in :func:`_two_grain_counts`, each row is keyed once by its download
-    and once by its user. A segment appears for every download row, so a
-    download step is present wherever the segment exists.
+    and once by its user and reduced to distinct keys; the parts hold
+    disjoint download keys (and only the matched part has users), so their
+    per-segment counts add up. A segment appears for every download row, so
+    a download step is present wherever the segment exists.
     """
-    keyed = base.selectExpr(
-        *dims,
-        "inline(array(named_struct('kind', 0, 'k', app_download_key, 'u', CAST(NULL AS BIGINT)),"
-        " named_struct('kind', 1, 'k', CAST(NULL AS STRING), 'u', user_id)))",
-    )
-    per_dims = (
-        keyed.distinct()
-        .groupBy(*dims)
-        .agg(
-            F.expr("count(CASE WHEN kind = 0 AND k IS NOT NULL THEN 1 END) AS n_dl"),
-            F.expr("count(CASE WHEN kind = 1 AND u IS NOT NULL THEN 1 END) AS n_su"),
+    counted = []
+    for part in parts:
+        keyed = part.selectExpr(
+            *dims,
+            "inline(array(named_struct('kind', 0, 'k', app_download_key, 'u', CAST(NULL AS BIGINT)),"
+            " named_struct('kind', 1, 'k', CAST(NULL AS STRING), 'u', user_id)))",
         )
+        counted.append(
+            keyed.distinct()
+            .groupBy(*dims)
+            .agg(
+                F.expr("count(CASE WHEN kind = 0 AND k IS NOT NULL THEN 1 END) AS n_dl"),
+                F.expr("count(CASE WHEN kind = 1 AND u IS NOT NULL THEN 1 END) AS n_su"),
+            )
+        )
+    per_dims = reduce(DataFrame.unionByName, counted).groupBy(*dims).agg(
+        F.expr("sum(n_dl) AS n_dl"), F.expr("sum(n_su) AS n_su")
     )
     rows = [
         _row(s, "n_dl", "0", "1") if s.grain == "download" else _row(s, "n_su", "0", "n_su > 0") for s in steps
@@ -217,15 +227,14 @@ def segmented_funnel(
         if s.grain not in GRAINS:
             raise ValueError(f"unknown grain {s.grain!r} in step {s.name!r}")
     names = [n for n, _ in dims]
-    base = _downloads_with_signups(tables).selectExpr(
-        *[f"{e} AS {n}" for n, e in dims], "app_download_key", "user_id"
-    )
-    user_dims = base.where("user_id IS NOT NULL").select("user_id", *names)
+    cols = [*[f"{e} AS {n}" for n, e in dims], "app_download_key", "user_id"]
+    matched, unmatched = (p.selectExpr(*cols) for p in _download_signup_parts(tables))
+    user_dims = matched.where("user_id IS NOT NULL").select("user_id", *names)
 
     parts: list[DataFrame] = []
     plain = [s for s in steps if s.grain == "download" or (s.grain == "signup" and s.predicate is None)]
     if plain:
-        parts.append(_download_signup_counts(base, names, plain))
+        parts.append(_download_signup_counts([matched, unmatched], names, plain))
     for s in steps:
         if s.grain == "signup" and s.predicate is not None:
             # a user qualifies through any of their signup rows, in every segment of the user

@@ -38,9 +38,9 @@ def test_segmented_funnel_steps_share_one_aggregate(t):
     plan = plan_of(df).split("Initial Plan")[0]
     # ride_requests is read once
     assert plan.count("ride_requests.parquet") <= 2
-    # two keyed aggregations (downloads+signups, ride steps), each with one
-    # keying and one unpivot generator: no per-step branches
-    assert plan.count("Generate inline") == 4
+    # keying generators: matched and unmatched downloads, ride rows; unpivot
+    # generators: download+signup steps, ride steps. No per-step branches.
+    assert plan.count("Generate inline") == 5
 
 
 def test_filters_pushed_to_scan(t):
@@ -91,6 +91,26 @@ def _with_conf(spark, conf, fn):
                 spark.conf.set(k, v)
 
 
+@pytest.mark.parametrize("name", ["general_funnel", "segmented_funnel", "segmented_funnel_alt"])
+def test_hot_session_join_is_split(spark, name):
+    """A third of the signups on one session id: the download-signup join is
+    an inner join (plus an anti join on distinct sessions), so adaptive
+    execution can split the hot session's partition. The partition is small
+    here, hence the small advisory size."""
+    from conftest import SF_MID, hot_session_tables
+
+    def run():
+        df = PLANS[name](hot_session_tables(spark, SF_MID))
+        df.collect()
+        return plan_of(df).split("Initial Plan")[0]
+
+    conf = {**SKEW_CONF, "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.shuffle.partitions": "16"}
+    plan = _with_conf(spark, conf, run)
+    assert "SortMergeJoin(skew=true) [app_download_key" in plan
+    inner = [ln for ln in plan.splitlines() if "SortMergeJoin" in ln and "[app_download_key" in ln and "Inner" in ln]
+    assert inner and all("skew=true" in ln for ln in inner)
+
+
 @pytest.mark.parametrize("name", ["general_funnel", "segmented_funnel", "segmented_funnel_alt"])
 def test_hot_user_join_is_split(spark, name):
     """With one user owning a third of the rides, adaptive execution splits the
