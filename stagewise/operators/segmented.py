@@ -2,10 +2,11 @@
 
 The naive form computes every step as its own branch: rescan the downloads,
 re-join signups, ride requests, transactions and reviews, group by the
-segment, then UNION the branches. Here each input is scanned once:
+segment, then UNION the branches. Here each ride table is scanned once:
 
-* ``base``: downloads left-joined to signups, one row per download, with the
-  segment dimensions;
+* downloads joined to signups, as the inner join plus the downloads without
+  a signup (an anti join), gives each download its segment dimensions; the
+  download and signup steps are counted from it in one keyed aggregation;
 * ride rows: ride requests carrying one 0/1 flag per ride step (``paid`` and
   ``reviewed`` come from transactions and reviews reduced to distinct
   ``ride_id`` first), joined to the users' segments;
