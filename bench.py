@@ -4,8 +4,9 @@
 
 The five funnel tables are derived from the driver's tables once and written
 to a fresh folder under ``spark.checkpoint.dir`` (a local scratch folder
-only when the setting is unset; the time is reported as ``derive_sec``); each query then runs against those Parquet tables, once to
-warm up and ``BENCH_REPS`` times timed, executing the whole plan through the
+only when the setting is unset; the time is reported as ``derive_sec``).
+Each query then runs against those Parquet tables, once to warm up and
+``BENCH_REPS`` (default 5) times timed, executing the whole plan through the
 ``noop`` sink (no collect to the driver). The naive, reference-shaped SQL of
 the rewritten queries (R1: age funnel, R2: dashboard funnels) is timed the
 same way under ``naive``. Prints one JSON line.
