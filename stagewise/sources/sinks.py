@@ -15,12 +15,15 @@ def write_dashboard_dataset(
 ) -> None:
     """Write an aggregated funnel as Parquet, partitioned for dashboard filters.
 
-    The input is already aggregated (one row per step and segment), so a
-    repartition on the partition columns keeps one file per output folder
-    instead of one per shuffle partition per folder.
+    A ``rebalance`` hint on the partition columns groups each folder's rows
+    into few files, while adaptive execution still splits a folder that is
+    too large for one task and merges small ones
+    (``spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled``); a
+    plain ``repartition`` by the same columns would write each folder from a
+    single task however large it grows.
     """
     cols = list(partition_by)
-    out = df.repartition(*cols) if cols else df
+    out = df.hint("rebalance", *cols) if cols else df
     writer = out.write.mode(mode)
     if cols:
         writer = writer.partitionBy(*cols)
