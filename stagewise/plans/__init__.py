@@ -1,6 +1,6 @@
-"""The reference's queries as DataFrame plans, their registry and SQL oracles."""
+"""The reference's queries as DataFrame plans (``queries.PLANS``), the driver
+registry (``registry``) and the DuckDB oracles (``oracle``)."""
 
 from .queries import PLANS
-from .registry import oracle_sql, queries
 
-__all__ = ["PLANS", "oracle_sql", "queries"]
+__all__ = ["PLANS"]
