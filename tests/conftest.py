@@ -33,9 +33,16 @@ def edge_dir(spark, tmp_path_factory):
         write_tables(edge_fixture.tables(spark, variant), str(base / variant))
     write_tables(hot_user_tables(spark, SF_SMALL), str(base / "hot_user"))
     write_tables(hot_session_tables(spark, SF_SMALL), str(base / "hot_session"))
+    import random_tables
+
+    for seed in RANDOM_SEEDS:
+        write_tables(random_tables.tables(spark, seed), str(base / f"random{seed}"))
     return base
 
 
+RANDOM_SEEDS = (1, 2, 3)
+
+
 HOT_USER = 1000001
 
 

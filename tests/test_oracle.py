@@ -13,7 +13,7 @@ from stagewise.plans.queries import PLANS
 from stagewise.sources.tables import read_tables
 
 NAMES = sorted(PLANS)
-VARIANTS = ["base", "empty", "growing", "duplicates", "hot_user", "hot_session"]
+VARIANTS = ["base", "empty", "growing", "duplicates", "hot_user", "hot_session", "random1", "random2", "random3"]
 
 
 @pytest.fixture(scope="module")
