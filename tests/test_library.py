@@ -103,3 +103,32 @@ def test_segment_expressions_are_sql(t):
     out = segmented_funnel(t, [SegmentStep(1, "Downloads", "download")], dims)
     assert out.agg({"users": "sum"}).first()[0] == 150
     assert out.columns == ["step", "name", "week", "has_age", "users", "rides"]
+
+
+def test_stage_duration_interval_matches_micros(spark):
+    import datetime as dt
+
+    from stagewise.operators import stage_duration
+
+    rows = [(dt.datetime(2021, 1, 1, 8, 5), dt.datetime(2021, 1, 1, 8, 15)),
+            (dt.datetime(2021, 1, 1, 19, 8), dt.datetime(2021, 1, 1, 19, 28)),
+            (dt.datetime(2021, 1, 1, 20, 5), dt.datetime(2021, 1, 1, 20, 20, 0, 1)),
+            (None, dt.datetime(2021, 1, 1, 9, 0))]
+    df = spark.createDataFrame(rows, "pickup_ts timestamp_ntz, dropoff_ts timestamp_ntz")
+    r = stage_duration(df, "pickup_ts", "dropoff_ts").first()
+    assert r.rides == 3
+    assert r.average_us == 900_000_000  # (600 + 1200 + 900.000001) s / 3, half up
+    assert r.average == dt.timedelta(microseconds=r.average_us)
+
+
+def test_oracle_ctes_do_not_hide_driver_tables():
+    import re
+
+    from compare import DRIVER_TABLES
+
+    from stagewise.plans.oracle import ORACLE_SQL
+
+    for name, sql in ORACLE_SQL.items():
+        ctes = set(re.findall(r"(?:WITH|,)\s*\n?\s*([a-z_][a-z0-9_]*)\s+AS\s*\(", sql))
+        assert ctes, name
+        assert not ctes & set(DRIVER_TABLES), (name, ctes & set(DRIVER_TABLES))
