@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, mixing, sharding
+from . import chat, decontamination, line_dedup, mixing, privacy, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_source_mixing, op6_decontamination, op7_sharding, op8_line_dedup)}
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(_table(spark, sf_dir, "conversations"))
 
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE}
+
+def op10_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_source_mixing, op6_decontamination, op7_sharding, op8_line_dedup, op9_chat_formatting, op10_privacy)}
+
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE, "op9_chat_formatting": chat.ORACLE}
