@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, line_dedup, mixing, privacy, sharding
+from . import chat, decontamination, line_dedup, mixing, privacy, sharding, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.digest(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +41,6 @@ def op10_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_source_mixing, op6_decontamination, op7_sharding, op8_line_dedup, op9_chat_formatting, op10_privacy)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_source_mixing, op5_exact_topk, op6_decontamination, op7_sharding, op8_line_dedup, op9_chat_formatting, op10_privacy)}
 
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE, "op9_chat_formatting": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_exact_topk": topk.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_chat_formatting": chat.ORACLE}
