@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, line_dedup, mixing, privacy, sharding, topk, wavelet
+from . import chat, decontamination, jaccard_join, line_dedup, mixing, privacy, sharding, topk, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,6 @@ def op10_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_wavelet_tokens, op4_source_mixing, op5_exact_topk, op6_decontamination, op7_sharding, op8_line_dedup, op9_chat_formatting, op10_privacy)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_wavelet_tokens, op3_jaccard_join, op4_source_mixing, op5_exact_topk, op6_decontamination, op7_sharding, op8_line_dedup, op9_chat_formatting, op10_privacy)}
 
 ORACLE_SQL: dict[str, str] = {"op5_exact_topk": topk.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_chat_formatting": chat.ORACLE}
