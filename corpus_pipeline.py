@@ -6,22 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stagewise.llm import decontamination, sharding
+from stagewise.llm import decontamination, jaccard_join, mixing, quality, sharding
 from stagewise.llm.scratch import staged
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model, fitted on the rated ones among them, gives even odds or more of the best grade."""
+    return quality.select(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of a Jaccard similarity of 0.75 or more form: the one with the smallest id."""
+    return jaccard_join.dedup(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover less than 5 % of the words."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of the sources takes them: not at all, once or twice."""
+    return mixing.mix(docs)
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's shard among 40, by rendezvous hashing of its id."""
     return sharding.with_shard(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_good),
+    ("near-copies", drop_near_copies),
     ("decontaminate", drop_contaminated),
+    ("mix", mix_sources),
     ("shard", shard),
 ]
 

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, jaccard_join, line_dedup, mixing, privacy, sharding, topk, wavelet
+from . import chat, decontamination, jaccard_join, line_dedup, mixing, privacy, quality, sharding, topk, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,6 +55,21 @@ def op10_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_wavelet_tokens, op3_jaccard_join, op4_source_mixing, op5_exact_topk, op6_decontamination, op7_sharding, op8_line_dedup, op9_chat_formatting, op10_privacy)}
-
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_wavelet_tokens,
+        op3_jaccard_join,
+        op4_source_mixing,
+        op5_exact_topk,
+        op6_decontamination,
+        op7_sharding,
+        op8_line_dedup,
+        op9_chat_formatting,
+        op10_privacy,
+    )
+}
+
+#: The others need a fitted model, a tokenizer, links of links, random draws, a hash of Spark's, or the places of matches.
 ORACLE_SQL: dict[str, str] = {"op5_exact_topk": topk.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_chat_formatting": chat.ORACLE}
