@@ -2,7 +2,7 @@
 
 Documents are dealt to tasks by ranges of their id and sorted there. A task
 encodes whole texts and closes a shard when it holds ``shard_tokens`` tokens
-(documents are not split, so a longer one makes a shard of its own). A shard's
+or somewhat more (documents are not split, so a longer one makes a shard of its own). A shard's
 token sequence becomes a wavelet matrix: one bit-plane for each bit of the ids,
 from the highest; each plane lists the sequence's bits in the order that the
 planes above left, zeros before ones. Planes are cut into blocks, each with the
@@ -23,8 +23,10 @@ chunks: the vocabulary's words never reach across white space.
 
 from __future__ import annotations
 
+import functools
 import io
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -32,19 +34,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .kernels import slices
+from .kernels import SLICE_BYTES, slices
 from .scratch import new_path, shuffle_width, staged
 
 END_ID = 1
 SHARD_TOKENS = 1 << 21
 BLOCK_BITS = 1 << 16
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_000_000
 MAGIC = b"WMTOK1\0\0"
 #: Tokens, documents, planes, bits in a block, bytes of the directory.
 _HEAD = struct.Struct("<8sQQIIQ")
@@ -52,41 +55,102 @@ _HEAD = struct.Struct("<8sQQIIQ")
 MANIFEST = "task int, shard int, path string, n_docs bigint, n_tokens bigint"
 
 
+class _Ids:
+    """Growing lists of ids by number."""
+
+    def __init__(self) -> None:
+        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these numbers, one after the other, and the number of each one's."""
+        first = self.starts[numbers]
+        size = self.starts[numbers + 1] - first
+        return self.ids[np.arange(int(size.sum())) + np.repeat(first - np.cumsum(size) + size, size)], size
+
+
 class ChunkEncoder:
-    """Encodes texts with a tokenizers file; chunks between blanks are encoded once while the cache holds them."""
+    """Encodes texts with a tokenizers file; what stands between blanks is encoded once while the cache holds it.
+
+    Most chunks are a run of letters up to U+00FF, perhaps with a sign behind.
+    They are put in lower case and cut before the sign, as the tokenizer does;
+    a run is one word of the tokenizer, so many are encoded in one string and
+    taken apart where a token ends a word. Other chunks are encoded as they are.
+    """
+
+    PLAIN = re.compile("([a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+)([.,;:!?]?)").fullmatch
 
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), cache_chunks
+        words = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.places: dict[str, int] = {}
-        self.starts, self.ids = [np.zeros(1, np.int64)], [np.zeros(0, np.uint32)]
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and the number of each text's."""
-        if len(self.places) > self.limit:
+        self.chunks: dict[str, int] = {}
+        self.cores: dict[str, int] = {"": 0}
+        self.chunk_ids, self.core_ids = _Ids(), _Ids()
+        self.core_ids.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def _learn_cores(self, plain: list[str], other: list[str]) -> None:
+        joined = [" ".join(plain[k : k + 256]) for k in range(0, len(plain), 256)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate([np.asarray(i, np.uint32) for i in ids]) if ids else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(plain):
+            raise ValueError("the tokenizer does not take a run of letters as one word")
+        self.core_ids.add(ids, np.diff(np.append(0, ends)))
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+        self.core_ids.add(np.fromiter((i for g in got for i in g), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+        new = [*plain, *other]
+        self.cores.update(zip(new, range(len(self.cores), len(self.cores) + len(new)), strict=True))
+
+    def _learn(self, chunks: list[str]) -> None:
+        flat, plain, other = [], set(), []
+        for chunk in chunks:
+            if match := self.PLAIN(chunk.lower()):
+                core, sign = match.groups()
+                plain.add(core)
+            else:
+                core, sign = chunk, ""
+                other.append(chunk)
+            flat += (core, sign)
+        plain.difference_update(self.cores)
+        other = list({*other, *flat[1::2]}.difference(self.cores))
+        if plain or other:
+            self._learn_cores(list(plain), other)
+        ids, sizes = self.core_ids.of(np.fromiter(map(self.cores.__getitem__, flat), np.int64, len(flat)))
+        self.chunk_ids.add(ids, sizes.reshape(-1, 2).sum(axis=1))
+        self.chunks.update(zip(chunks, range(len(self.chunks), len(self.chunks) + len(chunks)), strict=True))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and the number of each text's; null reads as empty."""
+        if len(self.chunks) > self.limit:
             self._clear()
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        flat = [c for own in chunks for c in own]
-        new = list(set(flat).difference(self.places))
+        texts = pc.fill_null(texts, "")
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = parts.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        new = [c for c in distinct if c not in self.chunks]
         if new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self.starts = [np.concatenate([*self.starts, self.starts[-1][-1] + np.cumsum(sizes)])]
-            self.ids = [np.concatenate([*self.ids, np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))])]
-        starts, ids = self.starts[0], self.ids[0]
-        place = np.fromiter(map(self.places.__getitem__, flat), np.int64, len(flat))
-        first, size = starts[place], starts[place + 1] - starts[place]
-        before = np.cumsum(size) - size
-        out = ids[np.arange(int(size.sum())) + np.repeat(first - before, size)]
-        cut = np.cumsum([0, *map(len, chunks)])
-        total = np.append(before, size.sum())
-        return out, np.diff(total[cut])
+            self._learn(new)
+        number = np.fromiter(map(self.chunks.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
+        ids, sizes = self.chunk_ids.of(number)
+        cut = np.append(0, np.cumsum(pc.list_value_length(parts).to_numpy()))
+        return ids, np.diff(np.append(0, np.cumsum(sizes))[cut])
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> ChunkEncoder:
+    """The encoder of a Python worker, with what its earlier tasks have learnt."""
+    return ChunkEncoder(path)
 
 
 def pack(ids: np.ndarray, sizes: np.ndarray, names: list, block_bits: int = BLOCK_BITS) -> bytes:
@@ -224,7 +288,7 @@ def _writer(folder: str, tokenizer: str, shard_tokens: int, end_id: int) -> Call
         from pyspark import TaskContext
 
         task, shard = TaskContext.get().partitionId(), 0
-        encode = ChunkEncoder(tokenizer)
+        encode = _encoder(tokenizer)
         names: list = []
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
@@ -248,9 +312,8 @@ def _writer(folder: str, tokenizer: str, shard_tokens: int, end_id: int) -> Call
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["task", "shard", "path", "n_docs", "n_tokens"])
 
         for batch in batches:
-            for a, b in slices(batch.column(1), min(1 << 20, 4 * shard_tokens)):
-                texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
-                got, size = encode(texts)
+            for a, b in slices(batch.column(1), min(SLICE_BYTES, 4 * shard_tokens)):
+                got, size = encode(batch.column(1).slice(a, b - a))
                 names += batch.column(0).slice(a, b - a).to_pylist()
                 ids.append(np.insert(got, np.cumsum(size), end_id))
                 sizes.append(size + 1)

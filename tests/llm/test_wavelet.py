@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from stagewise.llm import wavelet as W
@@ -20,7 +21,7 @@ def plain():
 
 def odd_texts(seed, n=150):
     r = random.Random(seed)
-    pool = ["it's", "WE'LL", "é", "́", "Ä", "ß", "İ", "ΑΣ", "<|endoftext|>", "<|startoftext|", "|>", "\x1c", "\x85", " ", " ", "\t", "\r", "123", "日本", "😀", "...", "\x00", "'", "'s", "word", "ﬁ", "​"]
+    pool = ["it's", "WE'LL", "é", "́", "Ä", "ß", "İ", "ΑΣ", "<|endoftext|>", "<|startoftext|", "|>", "\x1c", "\x85", " ", " ", "\t", "\r", "123", "日本", "😀", "...", "\x00", "'", "'s", "word", "Word", "ÀÉÿ", "µª", "²", "a.", "b,", "c!?", "<|ENDOFTEXT|>", "ﬁ", "​"]
     glue = ["", " ", "\n", "  ", " \n"]
     return ["".join(r.choice(pool) + r.choice(glue) for _ in range(r.randrange(12))) for _ in range(n)]
 
@@ -29,7 +30,7 @@ def test_chunks_encode_like_whole_texts(plain):
     texts = odd_texts(1, 1500)
     encode = W.ChunkEncoder(PATH, cache_chunks=300)
     for at in range(0, len(texts), 100):
-        ids, sizes = encode(texts[at : at + 100])
+        ids, sizes = encode(pa.array(texts[at : at + 100]))
         parts = np.split(ids, np.cumsum(sizes)[:-1])
         for text, got in zip(texts[at : at + 100], parts, strict=True):
             assert got.tolist() == plain(text)[:-1], repr(text)
