@@ -110,10 +110,11 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("hash"), "text", *(base_spans(text, kind).alias(kind) for kind in KINDS))
+    # Words that the window may have cut are left out.
     around = lambda x: F.concat_ws(
         "\n",
-        F.substring(text, F.greatest(x["start"] - context + 1, F.lit(1)), F.least(x["start"], F.lit(context))),
-        F.substring(text, x["stop"] + 1, F.lit(context)),
+        F.regexp_replace(F.substring(text, F.greatest(x["start"] - context + 1, F.lit(1)), F.least(x["start"], F.lit(context))), r"^[\p{L}\p{N}]+", ""),
+        F.regexp_replace(F.substring(text, x["stop"] + 1, F.lit(context)), r"[\p{L}\p{N}]+$", ""),
     )
 
     def with_context(kind: str) -> Column:
@@ -130,7 +131,11 @@ def telling_terms(found: DataFrame, texts: DataFrame, support: int = SUPPORT, bi
     docs = places.groupBy("entity", "id", "hash").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("with_entity"))
     terms = places.withColumn("term", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("around"), F.lit(WORD), F.lit(0)))))
     per_doc = terms.groupBy("entity", "term", "id", "hash").agg(F.min(F.xxhash64("around")).alias("context"))
+    per_doc = staged(per_doc, "privacy-near")
     pairs = per_doc.groupBy("entity", "term").agg(F.count("*").alias("both"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
+    # A term near many other entities is in as many documents: it leaves too much open whatever the texts say.
+    near = per_doc.groupBy("term", "id", "hash").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("with_near"))
+    pairs = pairs.join(near, "term").where(F.log2(F.col("with_near") / F.col("both")) < bits).drop("with_near")
     pairs = staged(pairs, "privacy-pairs")
     candidates = pairs.select("term").distinct()
     counts = _words(texts).groupBy("term").agg(F.count("*").alias("with_term")).join(candidates, "term", "left_semi")
