@@ -63,7 +63,7 @@ def test_base_spans_match_brute_force(spark, documents):
 def telling_corpus():
     rows = [(k, f"ordinary words of document {k} without anybody in them") for k in range(200)]
     for k in range(4):
-        rows.append((300 + k, f"variant{k} of a note by Zaphod about mail to zb@ship.example soon{k}"))
+        rows.append((300 + k, f"so {k}th note by Zaphod about mail to zb@ship.example soon{k} then"))
     rows += [(400, "later on, ZAPHOD spoke again"), (401, "and notebook zaphodian stays")]
     return rows + [(500 + k, "copied text with rareword next to copy@x.example in it") for k in range(6)]
 
