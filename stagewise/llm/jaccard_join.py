@@ -34,6 +34,7 @@ result; further columns are not read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -211,8 +212,8 @@ def _segments(percent: int, k: int, buckets: int) -> Callable:
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The keys of one bucket that several classes hold, by class, with the number of classes."""
+def _shared(batches: Iterator[pa.RecordBatch], parts_: int) -> Iterator[pa.RecordBatch]:
+    """The keys of one bucket that several classes hold, packed by part of the classes, with the number of classes."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         for bucket, classes, counts, keys in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -237,20 +238,38 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.repeat(number, size)
         several = number > 1
         classes, keys, number = classes[several], keys[several], number[several]
-        order = np.argsort(classes, kind="stable")
-        classes, keys, number = classes[order].view(np.int64), keys[order], number[order].astype(np.uint32)
-        first, size = _runs(classes)
-        for at in range(0, len(first), 20_000):
-            ends = [(int(a), int(a + n)) for a, n in zip(first[at : at + 20_000], size[at : at + 20_000], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(classes[first[at : at + 20_000]]),
-                    pa.array(np.full(len(ends), bucket), pa.int32()),
-                    pa.array([keys[a:b].tobytes() for a, b in ends], pa.binary()),
-                    pa.array([number[a:b].tobytes() for a, b in ends], pa.binary()),
-                ],
-                ["k1", "bucket", "keys", "numbers"],
-            )
+        part = _bucket(mix(classes), parts_)
+        order = np.lexsort((classes, part))
+        part, classes, keys, number = part[order], classes[order], keys[order], number[order].astype(np.uint32)
+        first, size = _runs(part)
+        rows = []
+        for at, n in zip(first, size, strict=True):
+            here = slice(at, at + n)
+            own, count = _runs(classes[here])
+            rows.append((int(part[at]), bucket, classes[here][own].tobytes(), count.astype(np.uint32).tobytes(), keys[here].tobytes(), number[here].tobytes()))
+        if rows:
+            kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "bucket", "classes", "counts", "keys", "numbers"])
+
+
+def _by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each class of a part: the keys that it shares, their buckets and numbers of classes."""
+    held = []
+    for batch in batches:
+        for _, bucket, classes, counts, keys, numbers in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            names = np.repeat(np.frombuffer(classes, np.int64), np.frombuffer(counts, np.uint32))
+            held.append((names, np.full(len(names), bucket, np.int32), np.frombuffer(keys, np.uint32), np.frombuffer(numbers, np.uint32)))
+    if not held:
+        return
+    classes, buckets, keys, numbers = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    order = np.argsort(classes, kind="stable")
+    classes, buckets, keys, numbers = classes[order], buckets[order], keys[order], numbers[order]
+    first, size = _runs(classes)
+    for at in range(0, len(first), 5000):
+        ends = [(int(a), int(a + n)) for a, n in zip(first[at : at + 5000], size[at : at + 5000], strict=True)]
+        columns = [pa.array([x[a:b].tobytes() for a, b in ends], pa.binary()) for x in (buckets, keys, numbers)]
+        yield pa.RecordBatch.from_arrays([pa.array(classes[first[at : at + 5000]]), *columns], ["k1", "buckets", "keys", "numbers"])
 
 
 def _allocate(percent: int) -> Callable:
@@ -260,11 +279,8 @@ def _allocate(percent: int) -> Callable:
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                parts = row["parts"]
-                sizes = [len(p["keys"]) // 4 for p in parts]
-                bucket = np.repeat(np.fromiter((p["bucket"] for p in parts), np.int64, len(parts)), sizes)
-                keys = np.concatenate([np.frombuffer(p["keys"], np.uint32) for p in parts])
-                number = np.concatenate([np.frombuffer(p["numbers"], np.uint32) for p in parts])
+                bucket = np.frombuffer(row["buckets"], np.int32).astype(np.int64)
+                keys, number = np.frombuffer(row["keys"], np.uint32), np.frombuffer(row["numbers"], np.uint32)
                 n = row["n"]
                 own_band = n.bit_length() - 1
                 asks, holds, central = np.zeros(len(keys), bool), np.zeros(len(keys), bool), 0.0
@@ -365,7 +381,7 @@ def _packets(buckets: int) -> Callable:
 
 
 def _candidates(percent: int) -> Callable:
-    """Pairs of different labels in one group of a bucket, one of which asks there, that size and sketch allow."""
+    """Pairs of different labels in one group of a partition's buckets, one of which asks there, that size and sketch allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
@@ -375,6 +391,8 @@ def _candidates(percent: int) -> Callable:
                 held.setdefault(bucket, []).append(
                     (np.frombuffer(members, np.int64).reshape(-1, 3), np.frombuffer(sketches, np.uint64).reshape(-1, SKETCH_BITS // 64), count, key, np.unpackbits(np.frombuffer(asks, np.uint8), count=len(key)).astype(bool))
                 )
+        found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+        gathered = 0
         for parts in held.values():
             members, sketches, counts, keys, asks = (np.concatenate(x) for x in zip(*parts, strict=True))
             own = np.repeat(np.arange(len(members)), counts)
@@ -383,8 +401,6 @@ def _candidates(percent: int) -> Callable:
             first, size = _runs(group)
             label = members[own, 1]
             mixed = (np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)) & np.logical_or.reduceat(asks, first)
-            found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-            gathered = 0
             for at, n in zip(first[mixed], size[mixed], strict=True):
                 here = own[at : at + n]
                 asking = np.unique(here[asks[at : at + n]])
@@ -395,7 +411,8 @@ def _candidates(percent: int) -> Callable:
                 if gathered > 1 << 20:
                     found = [np.unique(np.concatenate(found), axis=0)]
                     gathered = 0
-            pairs = np.unique(np.concatenate(found), axis=0)
+        pairs = np.unique(np.concatenate(found), axis=0)
+        if len(pairs):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
@@ -425,8 +442,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = known.agg(F.sum(F.col("own") + F.col("guest"))).first()[0] or 0
     buckets = int(max(shuffle_width(spark), total // (2 << 20) + 1))
     packets = rows.select("text").mapInArrow(_segments(percent, k, buckets), "bucket int, classes binary, counts binary, keys binary")
-    shared = packets.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, "k1 bigint, bucket int, keys binary, numbers binary")
-    shared = shared.groupBy("k1").agg(F.collect_list(F.struct("bucket", "keys", "numbers")).alias("parts"))
+    shared = packets.repartitionById(buckets, F.col("bucket")).mapInArrow(functools.partial(_shared, parts_=buckets), "part int, bucket int, classes binary, counts binary, keys binary, numbers binary")
+    shared = shared.repartitionById(buckets, F.col("part")).mapInArrow(_by_class, "k1 bigint, buckets binary, keys binary, numbers binary")
     met = shared.join(classes.select("k1", "node", "n", "own", "guest", "sketch"), "k1")
     alive = staged(met.mapInArrow(_allocate(percent), _SURVIVOR_SQL), "join-alive")
 
@@ -453,7 +470,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = alive.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("label", F.coalesce("label", "node"))
     named = named.select("node", "label", "n", "sketch", "buckets", "keys", "asks")
     packets = named.mapInArrow(_packets(buckets), "bucket int, members binary, sketches binary, counts binary, keys binary, asks binary")
-    pairs = packets.repartitionById(buckets, F.col("bucket")).mapInArrow(_candidates(percent), "a bigint, b bigint").distinct()
+    # Fewer partitions than buckets: a pair that meets in many groups is sent once by each partition.
+    entries = alive.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    dealt = min(buckets, entries // (4 << 20) + 8)
+    pairs = packets.repartitionById(dealt, F.col("bucket") % dealt).mapInArrow(_candidates(percent), "a bigint, b bigint").distinct()
     rest = verified(staged(pairs, "join-pairs"), "join-rest")
 
     final = staged(components(first.unionByName(rest)), "join-components")
