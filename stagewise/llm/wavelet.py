@@ -47,7 +47,7 @@ from .scratch import new_path, shuffle_width, staged
 END_ID = 1
 SHARD_TOKENS = 1 << 21
 BLOCK_BITS = 1 << 16
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 500_000
 MAGIC = b"WMTOK1\0\0"
 #: Tokens, documents, planes, bits in a block, bytes of the directory.
 _HEAD = struct.Struct("<8sQQIIQ")
