@@ -29,10 +29,11 @@ def div_half_up_sql(num: str, den: str, factor: int = 1) -> str:
     """``round(num * factor / den)`` half away from zero, as a long; NULL for a 0/NULL den.
 
     ``num`` and ``den`` are integral and ``den`` non-negative; ``div`` is
-    exact integer division, so no rounding step can go astray.
+    exact integer division, so no rounding step can go astray. The numerator
+    is a decimal, as a sum may pass 64 bits where the quotient does not.
     """
-    n, d = f"CAST({num} AS BIGINT)", f"CAST({den} AS BIGINT)"
-    q = f"(({2 * factor} * abs({n}) + {d}) div (2 * {d}))"
+    n, d = f"CAST({num} AS DECIMAL(31,0))", f"CAST({den} AS DECIMAL(20,0))"
+    q = f"((CAST({2 * factor} AS DECIMAL(7,0)) * abs({n}) + {d}) div (2 * {d}))"
     return f"(CASE WHEN {d} IS NULL OR {d} = 0 THEN CAST(NULL AS BIGINT) WHEN {n} < 0 THEN -{q} ELSE {q} END)"
 
 
@@ -69,6 +70,11 @@ def as_text_sql(value: str, suffix: str = "%", prefix: str = "") -> str:
     return f"concat_ws('', {', '.join(parts)})"
 
 
+def rate_or_null_sql(value: str, suffix: str = "%") -> str:
+    """:func:`as_text_sql` that is NULL for a NULL value: a ratio without a denominator has no text."""
+    return f"CASE WHEN {value} IS NOT NULL THEN {as_text_sql(value, suffix)} END"
+
+
 def div_half_up(num: str, den: str, factor: int = 1) -> Column:
     return F.expr(div_half_up_sql(num, den, factor))
 

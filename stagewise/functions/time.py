@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 def day_start_sql(ts: str) -> str:
     """``DATE_TRUNC('day', ts)`` keeping the TIMESTAMP_NTZ type.
 
-    Spark's ``date_trunc`` returns a session-zone TIMESTAMP; casting back keeps
-    the wall-clock value (the session zone is pinned to UTC).
+    Spark's ``date_trunc`` goes through the session's zone, where a day may
+    start at 1:00; a date does not.
     """
-    return f"CAST(date_trunc('DAY', {ts}) AS TIMESTAMP_NTZ)"
+    return f"CAST(to_date({ts}) AS TIMESTAMP_NTZ)"
 
 
 def day_sql(ts: str) -> str:

@@ -8,7 +8,7 @@ from .share import distinct_population, share_of_population
 from .spec import FunnelSpec, Stage, spec
 from .stage_counts import stage_counts
 from .step_rates import base_count_sql, drop_off_text_sql, rate_sql, rate_text_sql, step_rates
-from .user_flags import age_funnel_counts, sum_parts, user_stage_flags
+from .user_flags import age_funnel_counts, user_stage_flags
 
 __all__ = [
     "FunnelSpec",
@@ -31,7 +31,6 @@ __all__ = [
     "stage_counts",
     "stage_duration",
     "step_rates",
-    "sum_parts",
     "user_platforms",
     "user_ride_activity",
     "user_stage_flags",

@@ -96,20 +96,24 @@ def _rows(df: DataFrame, dims: list[str], rows: list[list[tuple[str, str]]]) ->
 def _ride_rows(tables: FunnelTables, steps: Sequence[SegmentStep], user_dims: DataFrame) -> DataFrame:
     rides = tables.ride_requests
     extra = []
+    joins = []
     if _mentions(steps, "paid"):
         paid = (
             tables.transactions.where(f"charge_status = {quote(APPROVED)}")
             .groupBy("ride_id")
             .agg(F.expr("TRUE AS paid_hit"))
         )
-        rides = rides.join(paid, "ride_id", "left")
+        joins.append(paid)
         extra.append("coalesce(paid_hit, FALSE) AS paid")
     if _mentions(steps, "reviewed"):
         reviewed = tables.reviews.where("ride_id IS NOT NULL").groupBy("ride_id").agg(F.expr("TRUE AS review_hit"))
-        rides = rides.join(reviewed, "ride_id", "left")
+        joins.append(reviewed)
         extra.append("coalesce(review_hit, FALSE) AS reviewed")
     if extra:
-        rides = rides.selectExpr("*", *extra)
+        # rides without an id can match nothing: they go around the joins, where they would share one partition
+        known = reduce(lambda r, side: r.join(side, "ride_id", "left"), joins, rides.where("ride_id IS NOT NULL"))
+        unknown = rides.where("ride_id IS NULL").selectExpr("*", *[f"FALSE AS {e.rpartition(' ')[2]}" for e in extra])
+        rides = known.selectExpr(*rides.columns, *extra).unionByName(unknown)
     flags = [f"{_flag_sql(s.predicate)} AS f{s.order}" for s in steps]
     any_flag = " OR ".join(f"f{s.order} = 1" for s in steps)
     flagged = rides.selectExpr("ride_id", "user_id", *flags).where(any_flag)
@@ -150,8 +154,36 @@ def _two_grain_counts(rows: DataFrame, steps: Sequence[SegmentStep], dims: list[
     )
 
 
-def _download_signup_parts(tables: FunnelTables) -> tuple[DataFrame, DataFrame]:
-    """``app_downloads LEFT JOIN signups ON app_download_key = session_id`` as
+def _reduced(tables: FunnelTables, dims: Sequence[tuple[str, str]]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Distinct downloads and distinct signups with the dimensions that each can tell, and all dimensions over their join.
+
+    Only distinct keys are counted, so a key that repeats on both sides need
+    not meet itself row by row. A dimension over columns of both sides keeps
+    those columns and is computed on the joined rows. Downloads stay apart by
+    platform in any case: distinct by the key alone they would be dealt by it
+    already, and adaptive execution only splits joins of two plain shuffles.
+    """
+    sides = (tables.app_downloads, tables.signups)
+    keys = (["app_download_key"], ["session_id", "user_id"])
+    picked: tuple[list[str], list[str]] = ([], [])
+    after = []
+    for name, expr in dims:
+        words = set(re.findall(r"\w+", expr))
+        told = [[c for c in side.columns if c in words] for side in sides]
+        if told[0] and told[1]:
+            for cols, own, more in zip(picked, keys, told):
+                cols.extend(c for c in more if c not in own and c not in cols)
+            after.append(f"{expr} AS {name}")
+        else:
+            picked[1 if told[1] else 0].append(f"{expr} AS {name}")
+            after.append(name)
+    picked[0].append("platform AS of_platform")
+    downloads, signups = (side.selectExpr(*own, *cols).distinct() for side, own, cols in zip(sides, keys, picked))
+    return downloads, signups, after
+
+
+def _download_signup_parts(downloads: DataFrame, signups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``downloads LEFT JOIN signups ON app_download_key = session_id`` as
     two disjoint parts: the inner join, and the downloads without a signup
     (signup columns NULL).
 
@@ -162,7 +194,7 @@ def _download_signup_parts(tables: FunnelTables) -> tuple[DataFrame, DataFrame]:
     Each part is aggregated on its own, so the inner join keeps a stage to
     itself, which the skew split needs.
     """
-    ad, sg = tables.app_downloads, tables.signups
+    ad, sg = downloads, signups
     matched = ad.join(sg, ad.app_download_key == sg.session_id)
     sessions = sg.select("session_id").distinct()
     unmatched = ad.join(sessions, ad.app_download_key == sessions.session_id, "left_anti")
@@ -228,9 +260,11 @@ def segmented_funnel(
         if s.grain not in GRAINS:
             raise ValueError(f"unknown grain {s.grain!r} in step {s.name!r}")
     names = [n for n, _ in dims]
-    cols = [*[f"{e} AS {n}" for n, e in dims], "app_download_key", "user_id"]
-    matched, unmatched = (p.selectExpr(*cols) for p in _download_signup_parts(tables))
-    user_dims = matched.where("user_id IS NOT NULL").select("user_id", *names)
+    downloads, signups, told = _reduced(tables, dims)
+    cols = [*told, "app_download_key", "user_id", "of_platform"]
+    matched, unmatched = (p.selectExpr(*cols) for p in _download_signup_parts(downloads, signups))
+    # Never distinct by the user alone, for the same reason as in _reduced.
+    user_dims = matched.where("user_id IS NOT NULL").select("user_id", *(names or ["of_platform"])).distinct().select("user_id", *names)
 
     parts: list[DataFrame] = []
     plain = [s for s in steps if s.grain == "download" or (s.grain == "signup" and s.predicate is None)]
@@ -245,6 +279,8 @@ def segmented_funnel(
         elif s.grain == "user_review":
             rows = (
                 tables.reviews.where("user_id IS NOT NULL")
+                .select("user_id", "ride_id")
+                .distinct()
                 .selectExpr("user_id", "ride_id", "1 AS f")
                 .join(user_dims, "user_id")
             )

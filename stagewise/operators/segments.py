@@ -11,6 +11,10 @@ from ..sources.tables import FunnelTables
 
 APPROVED = "Approved"  # fixed value: charge_status of a collected payment
 
+# An amount that is still to be summed: exact, so the total does not depend on
+# the order, and far below a cent; totals are rounded once, at the end.
+MONEY = "CAST(purchase_amount_usd AS DECIMAL(28,10))"
+
 
 def segment_counts(df: DataFrame, dims: Sequence[str], name: str = "count") -> DataFrame:
     """``COUNT(*)`` per combination of ``dims`` (NULL is its own group)."""
@@ -18,9 +22,14 @@ def segment_counts(df: DataFrame, dims: Sequence[str], name: str = "count") -> D
 
 
 def user_platforms(tables: FunnelTables) -> DataFrame:
-    """``platform, user_id`` for every signup matched to its download (with repeats)."""
-    ad, sg = tables.app_downloads, tables.signups
-    return ad.join(sg, ad.app_download_key == sg.session_id).select(ad.platform, sg.user_id)
+    """``platform, user_id, times``: how often a signup of the user meets a download of the platform.
+
+    Both sides are counted before they meet, so a key that repeats on both
+    makes one row for each pair of different rows, not of all.
+    """
+    ad = tables.app_downloads.groupBy("app_download_key", "platform").agg(F.expr("count(*) AS n_downloads"))
+    sg = tables.signups.groupBy("session_id", "user_id").agg(F.expr("count(*) AS n_signups"))
+    return ad.join(sg, ad.app_download_key == sg.session_id).selectExpr("platform", "user_id", "n_downloads * n_signups AS times")
 
 
 def user_ride_activity(
@@ -30,7 +39,7 @@ def user_ride_activity(
 ) -> DataFrame:
     """Per user: ``requests`` (ride rows), and with payments ``paid_completed``
     (0/1: a completed ride with a transaction) and ``amount`` (sum over those
-    transactions, money as decimal(18,2) per row before summing).
+    transactions, not rounded).
 
     Ride requests are counted per user map-side, so only one row per user and
     partition crosses the shuffle, however many rides a hot user has.
@@ -39,7 +48,7 @@ def user_ride_activity(
     requests = rr.groupBy("user_id").agg(F.expr("count(*) AS requests"))
     if not with_payments:
         return requests
-    tx = tables.transactions.selectExpr("ride_id", "CAST(purchase_amount_usd AS DECIMAL(18,2)) AS amount")
+    tx = tables.transactions.selectExpr("ride_id", f"{MONEY} AS amount")
     paid = (
         rr.where(completed)
         .select("ride_id", "user_id")
@@ -56,14 +65,14 @@ def ride_requests_by_platform(tables: FunnelTables) -> DataFrame:
     """``platform, ride_request_count``: rows of download ⋈ signup ⋈ ride request per platform.
 
     Equal to ``COUNT(*)`` over the three-way join: each user contributes
-    (#download-signup rows) x (#rides). Platforms without rides are absent.
+    (#download-signup pairs) x (#rides). Platforms without rides are absent.
     """
     activity = user_ride_activity(tables, with_payments=False)
     return (
         user_platforms(tables)
         .join(activity, "user_id")
         .groupBy("platform")
-        .agg(F.expr("CAST(sum(requests) AS BIGINT) AS ride_request_count"))
+        .agg(F.expr("CAST(sum(requests * times) AS BIGINT) AS ride_request_count"))
     )
 
 
@@ -83,7 +92,7 @@ def platform_scorecard(tables: FunnelTables, completed: str = "dropoff_ts IS NOT
         .join(activity, "user_id", "left")
         .groupBy("platform", "user_id")
         .agg(
-            F.expr("count(*) AS mult"),
+            F.expr("sum(times) AS mult"),
             F.expr("max(coalesce(requests, 0)) AS requests"),
             F.expr("max(coalesce(paid_completed, 0)) AS paid_completed"),
             F.expr("max(amount) AS amount"),
@@ -93,7 +102,7 @@ def platform_scorecard(tables: FunnelTables, completed: str = "dropoff_ts IS NOT
         F.expr("count(*) AS signups"),
         F.expr("sum(mult * requests) AS ride_requests"),
         F.expr("sum(paid_completed) AS completed_rides"),
-        F.expr("sum(amount * mult) AS total_payment_amount"),
+        F.expr("sum(CAST(amount AS DECIMAL(27,10)) * CAST(mult AS DECIMAL(10,0))) AS total_payment_amount"),
     )
     return spine.join(stats, "platform", "left").selectExpr(
         "platform",

@@ -49,12 +49,13 @@ def rate_sql(count: str, base: str, scale: int = 2, cap: int | None = None, zero
 def rate_text_sql(count: str, base: str, scale: int = 1, cap: int | None = None, zero_base: int | None = 0) -> str:
     """:func:`rate_sql` rendered as ``'<rate>%'``.
 
-    The zero-base value keeps its own scale (``'0%'``), and a NULL rate
-    renders as ``'%'``, as SQL CONCAT does.
+    The zero-base value keeps its own scale (``'0%'``). Without a base a rate
+    renders as ``'%'``, as SQL CONCAT does; with a base of 0 and no rule for
+    it, it is NULL.
     """
     value = as_text_sql(rate_sql(count, base, scale, cap, zero_base=None))
     if zero_base is None:
-        return value
+        return f"CASE WHEN {base} = 0 THEN CAST(NULL AS STRING) ELSE {value} END"
     return f"CASE WHEN {base} = 0 THEN '{zero_base}%' ELSE {value} END"
 
 

@@ -9,9 +9,6 @@ the user side and the distinct counts become sums of 0/1 flags.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,22 +33,7 @@ def user_stage_flags(tables: FunnelTables, completed: str = "dropoff_ts IS NOT N
     )
 
 
-def sum_parts(parts: Sequence[DataFrame], keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Union partial results that each fill some measures, then add them up by key.
-
-    A re-aggregation over a union instead of a join of the parts: NULL keys
-    group together, and the parts are already aggregated, so the final
-    shuffle is small.
-    """
-    filled = [
-        p.selectExpr(*keys, *[f"CAST({m if m in p.columns else 0} AS BIGINT) AS {m}" for m in measures])
-        for p in parts
-    ]
-    return reduce(DataFrame.unionByName, filled).groupBy(*keys).agg(
-        *[F.expr(f"CAST(sum({m}) AS BIGINT) AS {m}") for m in measures]
-    )
-
-
+SALTS = 4096
 AGE_MEASURES = ["downloads", "signups", "requests", "completed", "reviews"]
 
 
@@ -62,30 +44,33 @@ def age_funnel_counts(tables: FunnelTables) -> DataFrame:
     WHERE on the outer-joined side makes the join inner), so downloads per
     age range equal signups when every signup has its own download.
     """
-    ad, sg = tables.app_downloads, tables.signups
-    base = (
+    # Distinct by key and platform, not by key alone: dealt by the key already,
+    # this side would have no shuffle of its own, and the join could not be split.
+    ad = tables.app_downloads.where("app_download_key IS NOT NULL").select("app_download_key", "platform").distinct()
+    sg = tables.signups.where("age_range IS NOT NULL").select("session_id", "user_id", "age_range").distinct()
+    # Each pair once by its download and once by its user; the exchange of this
+    # aggregation lets adaptive execution split a hot session in the join below.
+    keyed = (
         ad.join(sg, ad.app_download_key == sg.session_id)
-        .where(sg.age_range.isNotNull())
-        .select(sg.age_range, ad.app_download_key, sg.user_id)
-    )
-    downloads = (
-        base.where("app_download_key IS NOT NULL")
-        .select("age_range", "app_download_key")
+        .selectExpr(
+            "age_range",
+            "inline(array(named_struct('kind', 0, 'k', app_download_key, 'u', CAST(NULL AS BIGINT)),"
+            " named_struct('kind', 1, 'k', CAST(NULL AS STRING), 'u', user_id)))",
+        )
+        .where("kind = 0 OR u IS NOT NULL")
         .distinct()
-        .groupBy("age_range")
-        .agg(F.expr("count(*) AS downloads"))
     )
-    per_user = (
-        base.where("user_id IS NOT NULL")
-        .select("age_range", "user_id")
-        .join(user_stage_flags(tables), "user_id", "left")
-        .groupBy("age_range", "user_id")
-        .agg(*[F.expr(f"max(coalesce({c}, 0)) AS {c}") for c in ("requested", "completed", "reviewed")])
-    )
-    users = per_user.groupBy("age_range").agg(
-        F.expr("count(*) AS signups"),
-        F.expr("sum(requested) AS requests"),
-        F.expr("sum(completed) AS completed"),
-        F.expr("sum(reviewed) AS reviews"),
+    # Download rows match no user; the salt keeps their NULLs out of one partition.
+    flags = user_stage_flags(tables).selectExpr("user_id AS u", "0 AS salt", "requested", "completed", "reviewed")
+    spread = keyed.selectExpr("*", f"CASE WHEN kind = 0 THEN CAST(1 + pmod(xxhash64(k), {SALTS}) AS INT) ELSE 0 END AS salt")
+    return (
+        spread.join(flags, ["u", "salt"], "left")
+        .groupBy("age_range")
+        .agg(
+            F.expr("count(CASE WHEN kind = 0 THEN 1 END) AS downloads"),
+            F.expr("count(CASE WHEN kind = 1 THEN 1 END) AS signups"),
+            F.expr("coalesce(sum(requested), 0) AS requests"),
+            F.expr("coalesce(sum(completed), 0) AS completed"),
+            F.expr("coalesce(sum(reviewed), 0) AS reviews"),
+        )
     )
-    return sum_parts([downloads, users], ["age_range"], AGE_MEASURES)

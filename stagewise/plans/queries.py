@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import age_label_sql, age_sort_key_sql, quote
-from ..functions.rates import as_text_sql, pct_sql
+from ..functions.rates import as_text_sql, pct_sql, rate_or_null_sql
 from ..functions.time import day_sql, day_start_sql
 from ..operators.duration import stage_duration
 from ..operators.hourly import bucket_hours, hourly_profile
 from ..operators.segmented import SegmentStep, segmented_funnel
-from ..operators.segments import APPROVED, platform_scorecard, ride_requests_by_platform, segment_counts
+from ..operators.segments import APPROVED, MONEY, platform_scorecard, ride_requests_by_platform, segment_counts
 from ..operators.share import share_of_population
 from ..operators.spec import SIGNUP_FUNNEL, SIGNUP_TOP_FUNNEL, TEXT_ID_FUNNEL, TOP_FUNNEL, USER_FUNNEL
 from ..operators.stage_counts import stage_counts
@@ -84,7 +84,7 @@ def payments_collected(t: FunnelTables) -> DataFrame:
     approved = t.transactions.where(f"charge_status = {quote(APPROVED)}")
     agg = approved.agg(
         F.expr("count(DISTINCT ride_id) AS total_rides"),
-        F.expr("CAST(sum(CAST(purchase_amount_usd AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS amount"),
+        F.expr(f"CAST(sum({MONEY}) AS DECIMAL(38,2)) AS amount"),
     )
     return agg.selectExpr("total_rides", f"{as_text_sql('amount', suffix='', prefix='$')} AS total_payment_received")
 
@@ -102,19 +102,19 @@ def unique_completing_users(t: FunnelTables) -> DataFrame:
 def signup_to_request_dropoff(t: FunnelTables) -> DataFrame:
     s = _distinct(t.signups, "user_id", "s")
     r = _distinct(t.ride_requests, "user_id", "r")
-    return _one_row(s, r).selectExpr(f"{as_text_sql(pct_sql('s - r', 's', 2))} AS drop_off_percentage")
+    return _one_row(s, r).selectExpr(f"{rate_or_null_sql(pct_sql('s - r', 's', 2))} AS drop_off_percentage")
 
 
 def signup_request_pct(t: FunnelTables) -> DataFrame:
     s = _distinct(t.signups, "user_id", "s")
     r = _distinct(t.ride_requests, "user_id", "r")
-    return _one_row(s, r).selectExpr(f"{as_text_sql(pct_sql('r', 's', 1))} AS signup_ride_request_percentage_users")
+    return _one_row(s, r).selectExpr(f"{rate_or_null_sql(pct_sql('r', 's', 1))} AS signup_ride_request_percentage_users")
 
 
 def signup_completed_pct(t: FunnelTables) -> DataFrame:
     s = _distinct(t.signups, "user_id", "s")
     c = _distinct(t.ride_requests, "user_id", "c", COMPLETED)
-    return _one_row(s, c).selectExpr(f"{as_text_sql(pct_sql('c', 's', 1))} AS signup_completed_percentage_users")
+    return _one_row(s, c).selectExpr(f"{rate_or_null_sql(pct_sql('c', 's', 1))} AS signup_completed_percentage_users")
 
 
 def pct_of_previous_wide(t: FunnelTables) -> DataFrame:
@@ -122,8 +122,8 @@ def pct_of_previous_wide(t: FunnelTables) -> DataFrame:
     s = _distinct(t.signups, "user_id", "s")
     r = _distinct(t.ride_requests, "user_id", "r")
     return _one_row(d, s, r).selectExpr(
-        f"{as_text_sql(pct_sql('s', 'd', 1))} AS conversion_rate_app_signup",
-        f"{as_text_sql(pct_sql('r', 's', 1))} AS conversion_rate_signup_ride",
+        f"{rate_or_null_sql(pct_sql('s', 'd', 1))} AS conversion_rate_app_signup",
+        f"{rate_or_null_sql(pct_sql('r', 's', 1))} AS conversion_rate_signup_ride",
     )
 
 

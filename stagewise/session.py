@@ -13,8 +13,8 @@ import tempfile
 from pyspark.sql import SparkSession
 
 # Settings every funnel job needs for correct and scalable plans.
-# - UTC session zone: the input timestamps are TIMESTAMP_NTZ; date_trunc goes
-#   through the session zone, so pin it to avoid DST shifts.
+# - UTC session zone: the input timestamps are TIMESTAMP_NTZ and no plan
+#   depends on the zone; results that a client prints stay comparable.
 # - AQE: runtime coalescing of the many tiny post-aggregation partitions,
 #   runtime broadcast of sides that turn out small (a measured size check),
 #   and splitting of skewed join partitions (one user may own a third of rides).
@@ -60,11 +60,17 @@ def build_session(
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, setting a local one only when none is set.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only local runs (tests, bench) get a fresh scratch folder.
+    as is; a cluster that names none gets an error, as executors do not see
+    each other's disks. Only local runs (tests, bench) get a scratch folder.
     """
     sc = spark.sparkContext
     current = (
@@ -75,6 +81,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
+    if not is_local(sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="stagewise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -3,11 +3,12 @@
 from .derive import derive_tables
 from .schemas import SCHEMAS, TABLE_NAMES
 from .sinks import write_dashboard_dataset
-from .tables import FunnelTables, conform, load_tables, materialize_tables, read_tables, write_tables
+from .tables import FunnelTables, SchemaError, conform, load_tables, materialize_tables, read_tables, write_tables
 
 __all__ = [
     "FunnelTables",
     "SCHEMAS",
+    "SchemaError",
     "TABLE_NAMES",
     "conform",
     "derive_tables",

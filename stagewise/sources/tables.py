@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from .schemas import SCHEMAS, TABLE_NAMES
@@ -25,44 +26,64 @@ class FunnelTables:
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """Select and cast the columns of table ``name`` in schema order.
+    """Derived columns of table ``name`` in schema order and with its types."""
+    return df.select([df[f.name].cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields])
 
-    Extra columns are dropped (pruned at the scan); a missing column fails
-    at analysis, which is the schema check.
-    """
-    schema = SCHEMAS[name]
-    return df.select([df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
+
+class SchemaError(ValueError):
+    """A stored table that lacks a column, or holds one of another type."""
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence check through Hadoop's FileSystem, so it works for any URI.
+def check_schema(df: DataFrame, name: str) -> DataFrame:
+    """Table ``name`` in schema order; raises if a column is missing or has another type.
 
-    Sessions without JVM access (Spark Connect) fall back to a tiny read.
+    Further columns are dropped (pruned at the scan).
+    """
+    found = {f.name: f.dataType for f in df.schema.fields}
+    for want in SCHEMAS[name].fields:
+        if want.name not in found:
+            raise SchemaError(f"table {name}: column {want.name} is missing")
+        if found[want.name] != want.dataType:
+            raise SchemaError(
+                f"table {name}: column {want.name} is {found[want.name].simpleString()}, not {want.dataType.simpleString()}"
+            )
+    return df.select(*[f.name for f in SCHEMAS[name].fields])
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path`` as it is stored, or None where nothing is.
+
+    Any other failure (no permission, a store that does not answer, files that
+    are not Parquet) is raised: it does not mean that the table is absent.
     """
     try:
-        jvm = spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(path)
-        fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return bool(fs.exists(hpath))
-    except Exception:  # no sparkContext on this session
-        try:
-            spark.read.parquet(path).schema
-            return True
-        except Exception:
-            return False
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _present(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    stored = {n: _stored(spark, f"{base}/{n}.parquet") for n in TABLE_NAMES}
+    return {n: df for n, df in stored.items() if df is not None}
 
 
 def has_funnel_tables(spark: SparkSession, base: str) -> bool:
-    return all(_path_exists(spark, f"{base}/{n}.parquet") for n in TABLE_NAMES)
+    """Whether ``base`` holds the five tables; raises if it holds only some of them."""
+    found = _present(spark, base)
+    if found and len(found) < len(TABLE_NAMES):
+        raise FileNotFoundError(f"{base} lacks {', '.join(n for n in TABLE_NAMES if n not in found)}")
+    return bool(found)
 
 
 def read_tables(spark: SparkSession, base: str) -> FunnelTables:
-    """Read ``{base}/{table}.parquet`` for the five tables with their schemas."""
-    frames = {
-        n: conform(spark.read.schema(SCHEMAS[n]).parquet(f"{base}/{n}.parquet"), n)
-        for n in TABLE_NAMES
-    }
-    return FunnelTables(**frames)
+    """Read and check ``{base}/{table}.parquet`` for the five tables."""
+    found = _present(spark, base)
+    missing = [n for n in TABLE_NAMES if n not in found]
+    if missing:
+        raise FileNotFoundError(f"{base} lacks {', '.join(missing)}")
+    return FunnelTables(**{n: check_schema(found[n], n) for n in TABLE_NAMES})
 
 
 def write_tables(tables: FunnelTables, base: str, mode: str = "overwrite") -> None:
@@ -89,7 +110,8 @@ def materialize_tables(spark: SparkSession, source: str, dest: str | None = None
     """Write the funnel tables of ``source`` as Parquet and read them back.
 
     ``dest`` defaults to a fresh folder under the session's
-    ``spark.checkpoint.dir`` (the shared folder a cluster names), so later
+    ``spark.checkpoint.dir`` (the shared folder a cluster names; without it,
+    only a local master has a folder of its own), so later
     jobs read stored tables instead of re-running the derivation, and a lost
     executor costs a re-read rather than a recomputation of the lineage.
     """

@@ -91,7 +91,10 @@ def _with_conf(spark, conf, fn):
                 spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", ["general_funnel", "segmented_funnel", "segmented_funnel_alt"])
+@pytest.mark.parametrize(
+    "name",
+    ["general_funnel", "segmented_funnel", "segmented_funnel_alt", "age_funnel_counts", "age_funnel_conversion", "ride_requests_by_platform", "platform_scorecard"],
+)
 def test_hot_session_join_is_split(spark, name):
     """A third of the signups on one session id: the download-signup join is
     an inner join (plus an anti join on distinct sessions), so adaptive
