@@ -466,7 +466,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = picks.join(hubs, "pick").where(f"node <> hub AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
     first = verified(near.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "join-first")
 
-    labels = staged(components(first), "join-labels")
+    labels = staged(components(first, rounds=2), "join-labels")
     named = alive.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("label", F.coalesce("label", "node"))
     named = named.select("node", "label", "n", "sketch", "buckets", "keys", "asks")
     packets = named.mapInArrow(_packets(buckets), "bucket int, members binary, sketches binary, counts binary, keys binary, asks binary")
@@ -476,7 +476,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = packets.repartitionById(dealt, F.col("bucket") % dealt).mapInArrow(_candidates(percent), "a bigint, b bigint").distinct()
     rest = verified(staged(pairs, "join-pairs"), "join-rest")
 
-    final = staged(components(first.unionByName(rest)), "join-components")
+    forest = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    final = staged(components(forest.unionByName(rest)), "join-components")
     own = classes.join(final.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("k1", "k2", "least_id", F.coalesce("label", "node").alias("label"))
     own = staged(own, "join-own")
     least = staged(own.groupBy("label").agg(F.min("least_id").alias("component_id")), "join-least")

@@ -140,6 +140,8 @@ def test_components(spark):
         low, high = sorted((find(a), find(b)))
         parent[high] = low
     assert got == {x: find(x) for x in parent if any(a != b and x in (a, b) for a, b in edges)}
+    early = {x["node"]: x["label"] for x in components(spark.createDataFrame(edges, "a long, b long"), rounds=1).collect()}
+    assert set(early) == set(got) and all(got[n] == got[label] for n, label in early.items())
 
 
 def test_dedup_and_empty(spark, documents):
