@@ -1,11 +1,7 @@
-import os
-import sys
+"""Fixtures of these tests: the smallest given tables, and documents made from rows."""
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-sys.path.insert(0, ROOT)
-
 
 @pytest.fixture(scope="session")
 def sf():

@@ -1,7 +1,8 @@
 import hashlib
 import random
 
-from compare import same
+from sql_check import same
+from tables import sf  # noqa: F401
 
 from stagewise.llm import chat as C
 

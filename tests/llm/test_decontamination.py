@@ -4,6 +4,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from tables import documents, sf  # noqa: F401
 
 from stagewise.llm import decontamination as D
 from stagewise.llm.kernels import ALNUM, NOT_SPACE, word_counts, word_hashes

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from tables import documents, sf  # noqa: F401
 
 from stagewise.llm import jaccard_join as J
 from stagewise.llm.components import components

@@ -2,7 +2,8 @@ import hashlib
 import random
 
 import pytest
-from compare import same
+from sql_check import same
+from tables import documents, sf  # noqa: F401
 
 from stagewise.llm import line_dedup as L
 

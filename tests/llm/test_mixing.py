@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from tables import documents, sf  # noqa: F401
 
 from stagewise.llm import mixing as M
 

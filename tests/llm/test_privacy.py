@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from tables import documents, sf  # noqa: F401
+
 from stagewise.llm import privacy as P
 
 RULES = {

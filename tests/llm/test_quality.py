@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from tables import documents, sf  # noqa: F401
 
 from stagewise.llm import quality as Q
 

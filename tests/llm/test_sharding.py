@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter
 
+from tables import documents, sf  # noqa: F401
+
 from stagewise.llm import sharding as S
 
 

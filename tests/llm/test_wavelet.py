@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from tables import documents, sf  # noqa: F401
 
 from stagewise.llm import wavelet as W
 
