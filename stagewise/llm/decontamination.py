@@ -297,7 +297,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **o
 
 
 def digest(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The contract's columns, with the longest match in words."""
+    """The contract's columns."""
     got = contaminated(find_matches(docs, bench))
     return got.select(
         "doc_id",
@@ -306,5 +306,26 @@ def digest(docs: DataFrame, bench: DataFrame) -> DataFrame:
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
-        F.coalesce(F.array_max(F.transform("matches", lambda x: x["words"])), F.lit(0).cast("bigint")).alias("longest_words"),
     )
+
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+ORACLE = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents
+), items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, n, array_to_string(w[k : k + n - 1], ' ') AS said
+  FROM (SELECT item, w, least(len(w), {WINDOW}) AS n, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) AS k FROM items WHERE len(w) > 0)
+), places AS (
+  SELECT r, n, k, array_to_string(w[k : k + n - 1], ' ') AS said
+  FROM (SELECT r, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) AS k FROM docs, (SELECT DISTINCT n FROM windows))
+), found AS (SELECT r, places.n, k, item FROM places JOIN windows ON places.said = windows.said AND places.n = windows.n
+), hit AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT r, k, n FROM found)) GROUP BY r
+), named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM docs LEFT JOIN hit ON hit.r = docs.r LEFT JOIN named ON named.r = docs.r
+"""

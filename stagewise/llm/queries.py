@@ -72,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: The others need a fitted model, a tokenizer, links of links, random draws, a hash of Spark's, or the places of matches.
-ORACLE_SQL: dict[str, str] = {"op5_exact_topk": topk.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_chat_formatting": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_exact_topk": topk.ORACLE, "op6_decontamination": decontamination.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_chat_formatting": chat.ORACLE}

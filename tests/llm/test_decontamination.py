@@ -98,6 +98,24 @@ def test_query_matches_brute_force(spark, sf):
     assert sorted(map(tuple, got)) == sorted(brute(docs, items))
 
 
+def test_sql_matches_brute_force(tmp_path):
+    import duckdb
+    import pyarrow.parquet as pq
+
+    docs, items = cases(7)
+    columns = lambda rows, key: pa.table({key: pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]})
+    pq.write_table(columns(docs, "doc_id"), tmp_path / "documents.parquet")
+    pq.write_table(columns(items, "item_id"), tmp_path / "benchmark.parquet")
+    for folder, own in ((tmp_path, brute(docs, items)), ("/root/testdata/sf0.01", None)):
+        con = duckdb.connect()
+        tables = {}
+        for name in ("documents", "benchmark"):
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet')")
+            tables[name] = con.execute(f"SELECT {'doc_id' if name == 'documents' else 'item_id'}, text FROM {name}").fetchall()
+        got = con.execute(f"SELECT {', '.join(COLUMNS)} FROM ({D.ORACLE})").fetchall()
+        assert sorted(got, key=str) == sorted(own or brute(tables["documents"], tables["benchmark"]), key=str)
+
+
 @pytest.mark.parametrize("table, pattern", [(ALNUM, WORD), (NOT_SPACE, re.compile("[^\x20\x09-\x0d]+"))])
 def test_kernels(table, pattern):
     texts = ["", None, "a b", "  é\x0bü ", "one", "\x00x", "Ab aB", "a" * 5000 + " b", " ", "x y"]
