@@ -110,12 +110,14 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("hash"), "text", *(base_spans(text, kind).alias(kind) for kind in KINDS))
-    # Words that the window may have cut are left out.
-    around = lambda x: F.concat_ws(
-        "\n",
-        F.regexp_replace(F.substring(text, F.greatest(x["start"] - context + 1, F.lit(1)), F.least(x["start"], F.lit(context))), r"^[\p{L}\p{N}]+", ""),
-        F.regexp_replace(F.substring(text, x["stop"] + 1, F.lit(context)), r"[\p{L}\p{N}]+$", ""),
+    # One code point more on each side where the text goes on: a word that runs over the window's edge is left out, a whole one is not.
+    before = lambda x: F.when(x["start"] <= context, F.substring(text, F.lit(1), x["start"])).otherwise(
+        F.regexp_replace(F.substring(text, F.greatest(x["start"] - context, F.lit(1)), F.lit(context + 1)), r"^(?:[\p{L}\p{N}]+|[^\p{L}\p{N}])", "")
     )
+    after = lambda x: F.when(F.char_length(text) <= x["stop"] + context, F.substring(text, x["stop"] + 1, F.lit(context))).otherwise(
+        F.regexp_replace(F.substring(text, x["stop"] + 1, F.lit(context + 1)), r"(?:[\p{L}\p{N}]+|[^\p{L}\p{N}])\z", "")
+    )
+    around = lambda x: F.concat_ws("\n", before(x), after(x))
 
     def with_context(kind: str) -> Column:
         return F.transform(kind, lambda x: F.struct(F.concat(F.lit(f"{kind}:"), F.lower(x["value"])).alias("entity"), around(x).alias("around")))

@@ -82,6 +82,27 @@ def test_telling_terms_are_found_everywhere(spark, documents):
     assert clean[7] == telling_corpus()[7][1] and clean[500] == "copied text with rareword next to [EMAIL] in it"
 
 
+def test_words_at_the_ends_of_a_text_are_whole(spark, documents):
+    rows = [(k, f"ordinary words of document {k} without anybody in them") for k in range(200)]
+    rows += [(300 + k, f"variant{k} of a note by Zaphod about mail to zb@ship.example soon{k}") for k in range(4)]
+    rows += [(310 + k, f"Smithson smith@x.example has letter{k} of the day") for k in range(4)]
+    rows += [(320 + k, f"the letter{k} came with mail a@b.example Trillian") for k in range(4)]
+    clean = {r["doc_id"]: r["text"] for r in P.sanitise(documents(rows)).collect()}
+    assert not [t for t in clean.values() if any(name in t for name in ("Zaphod", "Smithson", "Trillian"))]
+
+
+def test_only_words_cut_by_the_window_are_left_out(spark, documents):
+    mail, edge = "a@b.example", "w" * 40
+    texts = [f"Adams {edge} {mail} {edge} Brown", f"x Adam {edge}! {mail} !{edge} Jones y", f"x Adams {edge}! {mail} !{edge} Brown", f"x Adamson {edge}! {mail} !{edge} Browning"]
+    rows = P.entities(documents(texts)).select("id", "seen.around").collect()
+    got = {r["id"]: r["around"][0] for r in rows}
+    # The whole text, edges at a word's border, and words cut by both edges.
+    assert got[0] == f"Adams {edge} \n {edge} Brown"
+    assert got[1] == f" Adam {edge}! \n !{edge} Jones"
+    assert got[2] == f"Adams {edge}! \n !{edge} Brown"
+    assert got[3] == f" {edge}! \n !{edge} "
+
+
 def test_sanitise_keeps_rows_and_columns(spark, documents):
     docs = documents([(1, None), (1, "mail a@b.co and 1.2.3.4"), (1, "mail a@b.co and 1.2.3.4"), (None, "")]).selectExpr("*", "1 AS cut")
     out = P.sanitise(docs)
