@@ -2,9 +2,9 @@ r"""Information-theoretic sanitisation of personal data, with DataFrame function
 
 Protected entities are the personal data that patterns find: addresses of mail
 and hosts, card and phone numbers, with their places in the text. What stands
-around them may reveal them too. For every term near an entity, the corpus
-tells how many documents hold the term (all documents, whole texts), the
-entity, and the term next to the entity. With these,
+around them may reveal them too. For every term of a document that holds an
+entity, wherever it stands there, the corpus tells how many documents hold the
+term (all documents, whole texts), the entity, and both. With these,
 ``PMI(entity; term) = log2(N * both / (with_entity * with_term))`` is what the
 term tells about the entity, and ``IC(entity) = log2(N / with_entity)`` all
 that can be told. A term that leaves less than ``generalise_bits`` of it open
@@ -12,8 +12,17 @@ is replaced by its class wherever it stands, and one that leaves less than
 ``remove_bits`` is removed. Both need ``support`` different contexts, so copies
 of one document do not make its words telling.
 
+A context is what surrounds the term (``CONTEXT_WORDS`` words on each side)
+together with what surrounds the entity in that document (``CONTEXT_CHARS`` code
+points on each side of each mention). Words inside an entity are terms of the
+document's other entities only. Words of one or two characters are terms if one of
+them near an entity is not all lower-case letters ("Li", "42"): "to" is none.
+
 All counts are added up before they are shuffled, so common words and very
-common entities make no hot task. Candidate terms are joined by their size.
+common entities make no hot task. ``open_bits`` is ``log2(with_term / both)``,
+and ``both`` is at most the entity's documents, so terms in too many documents
+for every entity they meet are left out before the two are paired; this drops
+no term that the counts would keep.
 
 Defined results: a null text is an empty one without spans; equal rows are
 documents of their own; a null id is kept; an empty table gives an empty
@@ -29,9 +38,12 @@ from pyspark.sql import functions as F
 from .scratch import staged
 
 CONTEXT_CHARS = 48
+CONTEXT_WORDS = 8
 SUPPORT = 3
 REMOVE_BITS = 1.0
 GENERALISE_BITS = 2.0
+#: At most so many terms that cannot tell anything are sent to all executors, those in most documents first.
+COMMON = 50_000
 
 #: Fixed kinds in their order, and patterns. \G and the lookbehind start a match where a run of its characters starts or
 #: where the last match ended: the places that a search from the left tries first, without trying all others in the run.
@@ -43,8 +55,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-WORD = r"[\p{L}\p{N}]{3,}"
 NO_WORD = r"[^\p{L}\p{N}]+"
+LIKE_A_NAME = r"[^\p{Ll}]|..."
 SPANS = "array<struct<start:int,stop:int,value:string>>"
 
 
@@ -123,25 +135,58 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
         return F.transform(kind, lambda x: F.struct(F.concat(F.lit(f"{kind}:"), F.lower(x["value"])).alias("entity"), around(x).alias("around")))
 
     seen = F.concat(*map(with_context, KINDS))
-    return staged(rows.select("id", "hash", *KINDS, seen.alias("seen")), "privacy-entities")
+    words = F.when(F.greatest(*map(F.size, KINDS)) > 0, F.split(_outside(text), NO_WORD, -1))
+    return staged(rows.select("id", "hash", *KINDS, seen.alias("seen"), words.alias("words")), "privacy-entities")
+
+
+def _outside(text: Column) -> Column:
+    """The text without its spans, a line break in the place of each."""
+    places = F.concat(*(F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))) for kind in KINDS))
+    rest = lambda s, stop: F.concat(s["out"], F.substring(text, s["at"] + 1, F.greatest(stop - s["at"], F.lit(0))))
+    return F.aggregate(
+        F.array_sort(places),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda s, x: F.struct(F.greatest(s["at"], x["stop"]).alias("at"), F.concat(rest(s, x["start"]), F.lit("\n")).alias("out")),
+        lambda s: rest(s, F.char_length(text)),
+    )
+
+
+def _mentions() -> Column:
+    """All words of a document that holds an entity: ``term``, ``name`` (whether it makes a term), ``window`` (a hash of what surrounds it), and ``inside``, the entity that it is a part of."""
+    side = CONTEXT_WORDS
+    word = lambda w, window, inside: F.struct(F.lower(w).alias("term"), w.rlike(LIKE_A_NAME).alias("name"), window.alias("window"), inside.alias("inside"))
+    window = lambda k: F.xxhash64(F.slice("words", F.greatest(k - side + 1, F.lit(1)), F.least(k, F.lit(side)) + side + 1))
+    free = F.transform("words", lambda w, k: word(w, window(k), F.lit(None).cast("string")))
+    parts = F.transform("seen", lambda x: F.transform(F.split(F.regexp_replace(x["entity"], "^[a-z]+:", ""), NO_WORD, -1), lambda w: word(w, F.xxhash64(x["around"]), x["entity"])))
+    return F.filter(F.concat(free, F.flatten(parts)), lambda x: x["term"] != "")
+
+
+def _same_document() -> Column:
+    return F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash"))
 
 
 def telling_terms(found: DataFrame, texts: DataFrame, support: int = SUPPORT, bits: float = GENERALISE_BITS) -> DataFrame:
     """Terms that disclose an entity: ``term`` and ``open_bits``, the least that it leaves open of any entity; also the ``entity`` it is least for, ``pmi`` and ``ic``."""
     total = found.count()
-    places = found.select("id", "hash", F.explode("seen").alias("x")).select("id", "hash", "x.entity", "x.around")
-    docs = places.groupBy("entity", "id", "hash").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    terms = places.withColumn("term", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("around"), F.lit(WORD), F.lit(0)))))
-    per_doc = terms.groupBy("entity", "term", "id", "hash").agg(F.min(F.xxhash64("around")).alias("context"))
-    per_doc = staged(per_doc, "privacy-near")
-    pairs = per_doc.groupBy("entity", "term").agg(F.count("*").alias("both"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
-    # A term near many other entities is in as many documents: it leaves too much open whatever the texts say.
-    near = per_doc.groupBy("term", "id", "hash").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("with_near"))
-    pairs = pairs.join(near, "term").where(F.log2(F.col("with_near") / F.col("both")) < bits).drop("with_near")
-    pairs = staged(pairs, "privacy-pairs")
-    candidates = pairs.select("term").distinct()
-    counts = _words(texts).groupBy("term").agg(F.count("*").alias("with_term")).join(candidates, "term", "left_semi")
-    scored = pairs.join(counts, "term").join(docs, "entity")
+    held = found.where(F.col("words").isNotNull())
+    places = held.select("id", "hash", F.explode("seen").alias("x")).select(F.col("id").alias("of"), F.col("hash").alias("of_hash"), "x.entity", F.xxhash64("x.around").alias("around"))
+    holds = staged(places.distinct().groupBy("entity", "of", "of_hash").agg(F.bit_xor("around").alias("around")), "privacy-holds")
+    holds = staged(holds.join(holds.groupBy("entity").agg(F.count("*").alias("with_entity")), "entity"), "privacy-held-by")
+    most = holds.groupBy("of", "of_hash").agg(F.max("with_entity").alias("most"))
+    near = held.join(most, _same_document()).select("id", "hash", "most", _mentions().alias("mentions"))
+    near = staged(near, "privacy-near")
+    # No pair has more documents than its entity, than the term's mentions near any, and no more contexts than these.
+    terms = near.select("most", F.explode("mentions").alias("x")).groupBy("x.term").agg(F.count("*").alias("near"), F.max("most").alias("most"), F.max("x.name").alias("name"))
+    terms = _words(texts).groupBy("term").agg(F.count("*").alias("with_term")).join(terms, "term")
+    low = lambda both: F.log2(F.col("with_term") / both) < bits + 1e-6
+    terms = staged(terms.withColumn("open", F.col("name") & (F.col("near") >= support) & low(F.least("near", "most"))), "privacy-terms-near")
+    common = terms.where(~F.col("open")).orderBy(F.desc("near"), "term").limit(COMMON).select("term")
+    rows = near.select("id", "hash", F.explode("mentions").alias("x")).select("id", "hash", "x.term", "x.window", "x.inside").join(F.broadcast(common), "term", "left_anti")
+    rows = rows.join(terms.where("open").select("term", "with_term"), "term")
+    rows = rows.join(holds, _same_document()).where(low(F.col("with_entity")) & (F.col("inside").isNull() | (F.col("inside") != F.col("entity"))))
+    rows = rows.groupBy("entity", "term", "id", "hash", "with_entity", "with_term").agg(F.min(F.xxhash64("window", "around")).alias("context"))
+    pairs = staged(rows, "privacy-pairs").groupBy("entity", "term", "with_entity", "with_term").agg(F.count("*").alias("both"), F.count_distinct("context").alias("contexts"))
+    scored = pairs.where(F.col("contexts") >= support)
     ic = F.log2(F.lit(float(max(total, 1))) / F.col("with_entity"))
     pmi = F.log2(F.lit(float(max(total, 1))) * F.col("both") / (F.col("with_entity") * F.col("with_term")))
     scored = scored.select("term", "entity", pmi.alias("pmi"), ic.alias("ic")).withColumn("open_bits", F.col("ic") - F.col("pmi"))
@@ -170,7 +215,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppo
     places = places.select("of", "of_hash", matches(F.col("text"), pattern).alias("term"), "removed")
     places = places.withColumn("term", F.transform("term", lambda x: F.struct(x["start"], x["stop"], label(x).alias("label")))).drop("removed")
     places = staged(places.dropDuplicates(["of", "of_hash"]), "privacy-places")
-    rows = found.drop("seen").join(places, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left")
+    rows = found.drop("seen", "words").join(places, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left")
     none = F.expr("CAST(array() AS array<struct<start:int,stop:int,label:string>>)")
     return rows.select("id", "hash", *KINDS, F.coalesce("term", none).alias("term"))
 

@@ -103,6 +103,20 @@ def test_only_words_cut_by_the_window_are_left_out(spark, documents):
     assert got[3] == f" {edge}! \n !{edge} "
 
 
+def test_terms_far_from_the_entity_and_short_ones(spark, documents):
+    far = "and then the text goes on for quite a while before anything else is said in it, "
+    rows = [(k, f"ordinary words of document {k} without anybody in them, {far}") for k in range(200)]
+    rows += [(300 + k, f"Trillian came on day{k}, {far} mail to tm@ship.example, {far} so Ng and Li said on day{k}") for k in range(4)]
+    rows += [(400, "Trillian again, with Li and Ng")]
+    docs = documents(rows)
+    clean = {r["doc_id"]: r["text"] for r in P.sanitise(docs).collect()}
+    assert not [t for t in clean.values() if any(name in t for name in ("Trillian", "Ng", "Li"))]
+    assert clean[7] == rows[7][1] and far in clean[300]
+    # The parts of an entity are no terms of its own.
+    mail = rows[200][1].index("tm@")
+    assert not [s for r in P.spans(docs).where("id = 300").collect() for s in r["term"] if mail <= s["start"] < mail + 15]
+
+
 def test_sanitise_keeps_rows_and_columns(spark, documents):
     docs = documents([(1, None), (1, "mail a@b.co and 1.2.3.4"), (1, "mail a@b.co and 1.2.3.4"), (None, "")]).selectExpr("*", "1 AS cut")
     out = P.sanitise(docs)
