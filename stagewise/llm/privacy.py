@@ -44,6 +44,8 @@ REMOVE_BITS = 1.0
 GENERALISE_BITS = 2.0
 #: At most so many terms that cannot tell anything are sent to all executors, those in most documents first.
 COMMON = 50_000
+#: Up to so many keys are sent to all executors as 64-bit hashes, to leave out most rows before a shuffle; beyond it all are shuffled.
+SENT = 2_000_000
 
 #: Fixed kinds in their order, and patterns. \G and the lookbehind start a match where a run of its characters starts or
 #: where the last match ended: the places that a search from the left tries first, without trying all others in the run.
@@ -172,8 +174,10 @@ def telling_terms(found: DataFrame, texts: DataFrame, support: int = SUPPORT, bi
     places = held.select("id", "hash", F.explode("seen").alias("x")).select(F.col("id").alias("of"), F.col("hash").alias("of_hash"), "x.entity", F.xxhash64("x.around").alias("around"))
     holds = staged(places.distinct().groupBy("entity", "of", "of_hash").agg(F.bit_xor("around").alias("around")), "privacy-holds")
     holds = staged(holds.join(holds.groupBy("entity").agg(F.count("*").alias("with_entity")), "entity"), "privacy-held-by")
-    most = holds.groupBy("of", "of_hash").agg(F.max("with_entity").alias("most"))
-    near = held.join(most, _same_document()).select("id", "hash", "most", _mentions().alias("mentions"))
+    # Documents of one key would get the larger number, which leaves out less.
+    most = holds.groupBy(F.xxhash64("of", "of_hash").alias("key")).agg(F.max("with_entity").alias("most"))
+    most = F.broadcast(most) if most.count() <= SENT else most
+    near = held.join(most, F.xxhash64("id", "hash") == F.col("key")).select("id", "hash", "most", _mentions().alias("mentions"))
     near = staged(near, "privacy-near")
     # No pair has more documents than its entity, than the term's mentions near any, and no more contexts than these.
     terms = near.select("most", F.explode("mentions").alias("x")).groupBy("x.term").agg(F.count("*").alias("near"), F.max("most").alias("most"), F.max("x.name").alias("name"))
@@ -181,12 +185,17 @@ def telling_terms(found: DataFrame, texts: DataFrame, support: int = SUPPORT, bi
     low = lambda both: F.log2(F.col("with_term") / both) < bits + 1e-6
     terms = staged(terms.withColumn("open", F.col("name") & (F.col("near") >= support) & low(F.least("near", "most"))), "privacy-terms-near")
     common = terms.where(~F.col("open")).orderBy(F.desc("near"), "term").limit(COMMON).select("term")
-    rows = near.select("id", "hash", F.explode("mentions").alias("x")).select("id", "hash", "x.term", "x.window", "x.inside").join(F.broadcast(common), "term", "left_anti")
+    rows = near.select("id", "hash", F.explode("mentions").alias("x")).select("id", "hash", "x.term", "x.window", "x.inside")
+    rows = _near(rows, terms.where("open").select(F.xxhash64("term").alias("key")), "term").join(F.broadcast(common), "term", "left_anti")
     rows = rows.join(terms.where("open").select("term", "with_term"), "term")
     rows = rows.join(holds, _same_document()).where(low(F.col("with_entity")) & (F.col("inside").isNull() | (F.col("inside") != F.col("entity"))))
-    rows = rows.groupBy("entity", "term", "id", "hash", "with_entity", "with_term").agg(F.min(F.xxhash64("window", "around")).alias("context"))
-    pairs = staged(rows, "privacy-pairs").groupBy("entity", "term", "with_entity", "with_term").agg(F.count("*").alias("both"), F.count_distinct("context").alias("contexts"))
-    scored = pairs.where(F.col("contexts") >= support)
+    rows = rows.select("entity", "term", "id", "hash", "with_entity", "with_term", F.xxhash64("window", "around").alias("context"))
+    rows = staged(rows.distinct(), "privacy-pairs")
+    # Every context counts, also several of one document and one that stands in many.
+    pair = ["entity", "term", "with_entity", "with_term"]
+    contexts = rows.groupBy(*pair, "context").agg(F.lit(1).alias("one")).groupBy(*pair).agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
+    both = rows.groupBy(*pair, "id", "hash").agg(F.lit(1).alias("one")).groupBy(*pair).agg(F.count("*").alias("both"))
+    scored = both.join(contexts, pair)
     ic = F.log2(F.lit(float(max(total, 1))) / F.col("with_entity"))
     pmi = F.log2(F.lit(float(max(total, 1))) * F.col("both") / (F.col("with_entity") * F.col("with_term")))
     scored = scored.select("term", "entity", pmi.alias("pmi"), ic.alias("ic")).withColumn("open_bits", F.col("ic") - F.col("pmi"))
@@ -199,14 +208,22 @@ def _words(texts: DataFrame, *keep: str) -> DataFrame:
     return texts.select(*keep, F.explode(F.array_distinct(F.split(F.lower("text"), NO_WORD, -1))).alias("term"))
 
 
+def _near(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` without most of those whose hash of ``columns`` is not the ``key`` of any of ``keys``."""
+    keys = keys.select("key").distinct()
+    return rows.join(F.broadcast(keys), F.xxhash64(*columns) == F.col("key"), "left_semi") if keys.count() <= SENT else rows
+
+
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise_bits: float = GENERALISE_BITS, remove_bits: float = REMOVE_BITS) -> DataFrame:
     """One row per document: ``id``, ``hash`` of the text, the spans of each kind, and ``term``: spans of telling terms, with ``label`` "" (removed) or "[TERM]" (generalised)."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.withColumn("hash", F.xxhash64("text"))
     found = entities(docs, id_col, text_col)
     terms = telling_terms(found, texts, support, generalise_bits).select("term", "open_bits")
-    held = _words(texts, "id", "hash").join(terms, "term").groupBy("id", "hash").agg(F.collect_set(F.struct("term", "open_bits")).alias("telling"))
+    words = _near(_words(texts, "id", "hash"), terms.select(F.xxhash64("term").alias("key")), "term")
+    held = words.join(terms, "term").groupBy("id", "hash").agg(F.collect_set(F.struct("term", "open_bits")).alias("telling"))
     held = staged(held.select(F.col("id").alias("of"), F.col("hash").alias("of_hash"), "telling"), "privacy-held")
+    texts = _near(texts, held.select(F.xxhash64("of", "of_hash").alias("key")), "id", "hash")
     names = F.array_join(F.array_sort(F.transform("telling", lambda x: x["term"])), "|")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), names, F.lit(r")(?![\p{L}\p{N}])"))
     removed = F.transform(F.filter("telling", lambda x: x["open_bits"] < remove_bits), lambda x: x["term"])

@@ -117,6 +117,16 @@ def test_terms_far_from_the_entity_and_short_ones(spark, documents):
     assert not [s for r in P.spans(docs).where("id = 300").collect() for s in r["term"] if mail <= s["start"] < mail + 15]
 
 
+def test_every_context_counts(spark, documents):
+    shared = "regards from Slartibart at sb@fjord.example of the Magrathean office for coasts\n"
+    rows = [(k, f"ordinary words of document {k} without anybody in them") for k in range(200)]
+    rows += [(300 + k, f"{shared}in the letter{k} now Slartibart wrote sb@fjord.example for the reply{k}") for k in range(2)]
+    rows += [(310, "first Prosser wrote mail pr@x.example there. second, so Prosser gave pr@x.example again. third, Prosser left pr@x.example here with Hapax")]
+    terms = {r["term"] for r in P.telling_terms(P.entities(documents(rows)), documents(rows).selectExpr("doc_id AS id", "text", "xxhash64(text) AS hash")).collect()}
+    # One signature and two texts; three mentions in one document; not a word that stands once beside them.
+    assert {"slartibart", "prosser"} <= terms and "hapax" not in terms
+
+
 def test_sanitise_keeps_rows_and_columns(spark, documents):
     docs = documents([(1, None), (1, "mail a@b.co and 1.2.3.4"), (1, "mail a@b.co and 1.2.3.4"), (None, "")]).selectExpr("*", "1 AS cut")
     out = P.sanitise(docs)
