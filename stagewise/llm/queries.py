@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, jaccard_join, line_dedup, mixing, privacy, quality, sharding, topk, wavelet
+from . import chat, decontamination, jaccard_join, line_dedup, mixing, prefix_trie, privacy, quality, sharding, topk, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.digest(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -68,8 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_chat_formatting,
         op10_privacy,
+        op11_conversation_trie,
     )
 }
 
 #: The others need a fitted model, a tokenizer, links of links, random draws, a hash of Spark's, or the places of matches.
-ORACLE_SQL: dict[str, str] = {"op5_exact_topk": topk.ORACLE, "op6_decontamination": decontamination.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_chat_formatting": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_exact_topk": topk.ORACLE, "op6_decontamination": decontamination.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_chat_formatting": chat.ORACLE, "op11_conversation_trie": prefix_trie.ORACLE}
