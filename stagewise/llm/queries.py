@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, jaccard_join, line_dedup, mixing, prefix_trie, privacy, quality, sharding, topk, wavelet
+from . import chat, decontamination, hard_negatives, jaccard_join, language_id, line_dedup, mixing, prefix_trie, privacy, quality, sharding, topk, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,14 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.digest(_table(spark, sf_dir, "conversations"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,8 +81,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_chat_formatting,
         op10_privacy,
         op11_conversation_trie,
+        op12_hard_negatives,
+        op13_language_id,
     )
 }
 
 #: The others need a fitted model, a tokenizer, links of links, random draws, a hash of Spark's, or the places of matches.
-ORACLE_SQL: dict[str, str] = {"op5_exact_topk": topk.ORACLE, "op6_decontamination": decontamination.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_chat_formatting": chat.ORACLE, "op11_conversation_trie": prefix_trie.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_exact_topk": topk.ORACLE, "op6_decontamination": decontamination.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_chat_formatting": chat.ORACLE, "op11_conversation_trie": prefix_trie.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
