@@ -7,8 +7,8 @@ are one row per byte. Both states at a position give that position's log odds
 of the languages. A document's probabilities are the mean of those of all its
 letter bytes; windows cover the whole text without gaps.
 
-It is trained in numpy by backpropagation through time, with Adam steps, in one
-task: from at most ``per_lang`` documents of each language (those with the
+It is trained in numpy by backpropagation through time, with ``steps`` Adam steps, in
+one task: from at most ``per_lang`` documents of each language (those with the
 smallest hash of their id) and ``max_rows`` in all, the text of each through at
 most ``spread`` windows evenly spaced over it. Predictions read the text only.
 
@@ -35,7 +35,7 @@ from .scratch import staged
 
 WINDOW, UNITS = 64, 8
 PER_LANG, MAX_ROWS, SPREAD = 1500, 20_000, 6
-EPOCHS, BATCH, RATE = 3, 256, 0.01
+STEPS, BATCH, RATE = 300, 256, 0.01
 #: Windows that are read at a time.
 GROUP = 4096
 UNKNOWN = "und"
@@ -211,17 +211,18 @@ def loss_and_gradients(net: Network, symbols: np.ndarray, size: np.ndarray, lang
     return loss, grads
 
 
-def train(texts: list[bytes], langs: list[str], window: int = WINDOW, units: int = UNITS, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 0) -> Network:
+def train(texts: list[bytes], langs: list[str], window: int = WINDOW, units: int = UNITS, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 0) -> Network:
     """A network trained on windows (lower-cased bytes, at most ``window`` each) with their languages."""
     names = sorted(set(langs))
     net = Network.random(names, units, seed)
     code = np.searchsorted(np.array(names), langs) if names else np.zeros(0, np.int64)
     r = np.random.default_rng(seed + 1)
     mean, square, step = [np.zeros_like(a) for a in net.arrays()], [np.zeros_like(a) for a in net.arrays()], 0
-    last = epochs * -(-len(texts) // batch)
-    for _ in range(epochs if len(names) > 1 else 0):
+    while step < steps and len(names) > 1:
         order = r.permutation(len(texts))
         for at in range(0, len(order), batch):
+            if step == steps:
+                break
             some = sorted(order[at : at + batch], key=lambda k: -len(texts[k]))
             size = np.array([len(texts[k]) for k in some])
             symbols = np.zeros((size[0], len(some)), np.intp)
@@ -230,7 +231,7 @@ def train(texts: list[bytes], langs: list[str], window: int = WINDOW, units: int
             _, grads = loss_and_gradients(net, symbols, size, code[some])
             step += 1
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
-            pace = rate * (1 - 0.9 * step / last)
+            pace = rate * (1 - 0.9 * step / steps)
             for a, g, m, s in zip(net.arrays(), grads, mean, square, strict=True):
                 g *= min(1.0, 1.0 / max(norm, 1e-12))
                 m += 0.1 * (g - m)

@@ -92,7 +92,7 @@ def learnt(spark):
     rows += [(1000, None, "aa", None, None), (1001, "", "aa", None, None), (1002, "123 --", "aa", "s", 1), (1003, sentence("cc", r, 4000), None, "s", 1), (None, sentence("bb", r), "bb", "s", 1)]
     rows += [rows[0], (1004, sentence("aa", r).upper(), "cc", "s", 1), (1005, "é", "bb", "s", 1)]
     frame = spark.createDataFrame(rows, DOCUMENTS).selectExpr("*", "1 AS known", "'x' AS _0", "2 AS score")
-    return rows, {}, L.digest(frame, epochs=6).collect()
+    return rows, {}, L.digest(frame, steps=60).collect()
 
 
 def test_every_row_is_predicted(learnt):
