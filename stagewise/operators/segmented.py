@@ -94,6 +94,22 @@ def _rows(df: DataFrame, dims: list[str], rows: list[list[tuple[str, str]]]) ->
 
 
 def _ride_rows(tables: FunnelTables, steps: Sequence[SegmentStep], user_dims: DataFrame) -> DataFrame:
+    """Rides that hold a step, in the segments of their users: one row per ride row and segment.
+
+    Each part of the rides meets the members on its own, so a part in buckets
+    of users is read without a shuffle.
+    """
+    flags = [f"f{s.order}" for s in steps]
+    any_flag = " OR ".join(f"{f} = 1" for f in flags)
+    met = []
+    for rides in tables.ride_parts or (_with_ride_flags(tables, steps),):
+        flagged = rides.selectExpr("ride_id", "user_id", *[f"{_flag_sql(s.predicate)} AS {f}" for s, f in zip(steps, flags)]).where(any_flag)
+        met.append(flagged.join(user_dims, "user_id"))
+    return reduce(DataFrame.unionByName, met)
+
+
+def _with_ride_flags(tables: FunnelTables, steps: Sequence[SegmentStep]) -> DataFrame:
+    """Ride requests with the flags ``paid`` and ``reviewed`` that steps mention."""
     rides = tables.ride_requests
     extra = []
     joins = []
@@ -109,15 +125,12 @@ def _ride_rows(tables: FunnelTables, steps: Sequence[SegmentStep], user_dims: Da
         reviewed = tables.reviews.where("ride_id IS NOT NULL").groupBy("ride_id").agg(F.expr("TRUE AS review_hit"))
         joins.append(reviewed)
         extra.append("coalesce(review_hit, FALSE) AS reviewed")
-    if extra:
-        # rides without an id can match nothing: they go around the joins, where they would share one partition
-        known = reduce(lambda r, side: r.join(side, "ride_id", "left"), joins, rides.where("ride_id IS NOT NULL"))
-        unknown = rides.where("ride_id IS NULL").selectExpr("*", *[f"FALSE AS {e.rpartition(' ')[2]}" for e in extra])
-        rides = known.selectExpr(*rides.columns, *extra).unionByName(unknown)
-    flags = [f"{_flag_sql(s.predicate)} AS f{s.order}" for s in steps]
-    any_flag = " OR ".join(f"f{s.order} = 1" for s in steps)
-    flagged = rides.selectExpr("ride_id", "user_id", *flags).where(any_flag)
-    return flagged.join(user_dims, "user_id")
+    if not extra:
+        return rides
+    # rides without an id can match nothing: they go around the joins, where they would share one partition
+    known = reduce(lambda r, side: r.join(side, "ride_id", "left"), joins, rides.where("ride_id IS NOT NULL"))
+    unknown = rides.where("ride_id IS NULL").selectExpr("*", *[f"FALSE AS {e.rpartition(' ')[2]}" for e in extra])
+    return known.selectExpr(*rides.columns, *extra).unionByName(unknown)
 
 
 def _two_grain_counts(rows: DataFrame, steps: Sequence[SegmentStep], dims: list[str], flags: list[str]) -> DataFrame:
@@ -175,7 +188,8 @@ def _reduced(tables: FunnelTables, dims: Sequence[tuple[str, str]]) -> tuple[Dat
                 cols.extend(c for c in more if c not in own and c not in cols)
             after.append(f"{expr} AS {name}")
         else:
-            picked[1 if told[1] else 0].append(f"{expr} AS {name}")
+            # A column under its own name gets no alias: one that is removed in some branches only would tell equal exchanges apart.
+            picked[1 if told[1] else 0].append(name if expr == name else f"{expr} AS {name}")
             after.append(name)
     picked[0].append("platform AS of_platform")
     downloads, signups = (side.selectExpr(*own, *cols).distinct() for side, own, cols in zip(sides, keys, picked))
@@ -241,12 +255,28 @@ def _count_per_dims(df: DataFrame, dims: list[str], col: str) -> DataFrame:
     return df.where(f"{col} IS NOT NULL").select(*dims, col).distinct().groupBy(*dims).agg(F.expr("count(*) AS n"))
 
 
+def _members(matched: DataFrame, names: list[str], shared: bool) -> DataFrame:
+    """``user_id`` and its segments, distinct.
+
+    Never distinct by the user alone, for the same reason as in _reduced.
+    Shared with the counts of downloads and signups, the user leaves as the
+    result of an aggregate: the filter on it that a join infers then stays
+    above the common exchange, which so remains the same for all branches.
+    """
+    by = names or ["of_platform"]
+    if not shared:
+        return matched.where("user_id IS NOT NULL").select("user_id", *by).distinct().select("user_id", *names)
+    grouped = matched.withColumnRenamed("user_id", "of_user").groupBy("of_user", *by).agg(F.expr("max(of_user) AS user_id"))
+    return grouped.select("user_id", *names)
+
+
 def segmented_funnel(
     tables: FunnelTables,
     steps: Sequence[SegmentStep],
     dims: Sequence[tuple[str, str]] = (),
     keep_empty: bool = False,
     absent: int | None = 0,
+    shared: bool = True,
 ) -> DataFrame:
     """``step, name, <dims>, users, rides``: one row per step and segment.
 
@@ -255,6 +285,12 @@ def segmented_funnel(
     ``keep_empty``: emit every step even when nothing qualifies (only
     meaningful without dims: the naive form's ungrouped aggregates). A count
     a step does not report is ``absent`` (NULL or 0).
+
+    ``shared``: all branches reuse one exchange of the joined downloads and
+    signups. Without it they are joined once more for the rides; that pays
+    when the downloads are narrowed to few (a range of days), as Spark can then
+    build a Bloom filter of the users it reaches and drop other rides before
+    they are shuffled.
     """
     for s in steps:
         if s.grain not in GRAINS:
@@ -263,8 +299,10 @@ def segmented_funnel(
     downloads, signups, told = _reduced(tables, dims)
     cols = [*told, "app_download_key", "user_id", "of_platform"]
     matched, unmatched = (p.selectExpr(*cols) for p in _download_signup_parts(downloads, signups))
-    # Never distinct by the user alone, for the same reason as in _reduced.
-    user_dims = matched.where("user_id IS NOT NULL").select("user_id", *(names or ["of_platform"])).distinct().select("user_id", *names)
+    if shared:
+        # Dealt by all its columns: no branch can prune one below the exchange, so it is the same in each.
+        matched = matched.repartition(*[F.col(c) for c in matched.columns])
+    user_dims = _members(matched, names, shared)
 
     parts: list[DataFrame] = []
     plain = [s for s in steps if s.grain == "download" or (s.grain == "signup" and s.predicate is None)]

@@ -33,7 +33,6 @@ def user_stage_flags(tables: FunnelTables, completed: str = "dropoff_ts IS NOT N
     )
 
 
-SALTS = 4096
 AGE_MEASURES = ["downloads", "signups", "requests", "completed", "reviews"]
 
 
@@ -48,29 +47,18 @@ def age_funnel_counts(tables: FunnelTables) -> DataFrame:
     # this side would have no shuffle of its own, and the join could not be split.
     ad = tables.app_downloads.where("app_download_key IS NOT NULL").select("app_download_key", "platform").distinct()
     sg = tables.signups.where("age_range IS NOT NULL").select("session_id", "user_id", "age_range").distinct()
-    # Each pair once by its download and once by its user; the exchange of this
-    # aggregation lets adaptive execution split a hot session in the join below.
-    keyed = (
-        ad.join(sg, ad.app_download_key == sg.session_id)
-        .selectExpr(
-            "age_range",
-            "inline(array(named_struct('kind', 0, 'k', app_download_key, 'u', CAST(NULL AS BIGINT)),"
-            " named_struct('kind', 1, 'k', CAST(NULL AS STRING), 'u', user_id)))",
-        )
-        .where("kind = 0 OR u IS NOT NULL")
-        .distinct()
-    )
-    # Download rows match no user; the salt keeps their NULLs out of one partition.
-    flags = user_stage_flags(tables).selectExpr("user_id AS u", "0 AS salt", "requested", "completed", "reviewed")
-    spread = keyed.selectExpr("*", f"CASE WHEN kind = 0 THEN CAST(1 + pmod(xxhash64(k), {SALTS}) AS INT) ELSE 0 END AS salt")
-    return (
-        spread.join(flags, ["u", "salt"], "left")
-        .groupBy("age_range")
-        .agg(
-            F.expr("count(CASE WHEN kind = 0 THEN 1 END) AS downloads"),
-            F.expr("count(CASE WHEN kind = 1 THEN 1 END) AS signups"),
-            F.expr("coalesce(sum(requested), 0) AS requests"),
-            F.expr("coalesce(sum(completed), 0) AS completed"),
-            F.expr("coalesce(sum(reviewed), 0) AS reviews"),
-        )
+    # One exchange by all columns, which both counts below start from; it also
+    # lets adaptive execution split a hot session in the join.
+    arrived = ad.join(sg, ad.app_download_key == sg.session_id).selectExpr("age_range", "app_download_key", "user_id AS of_user")
+    arrived = arrived.repartition("age_range", "app_download_key", "of_user")
+    downloads = arrived.select("age_range", "app_download_key").distinct().groupBy("age_range").agg(F.expr("count(*) AS downloads"))
+    # The user as an aggregate's result: a filter on it stays above the common exchange.
+    users = arrived.groupBy("age_range", "of_user").agg(F.expr("max(of_user) AS user_id"))
+    did = users.join(user_stage_flags(tables), "user_id", "left").groupBy("age_range").agg(
+        F.expr("count(user_id) AS signups"),
+        F.expr("coalesce(sum(requested), 0) AS requests"),
+        F.expr("coalesce(sum(completed), 0) AS completed"),
+        F.expr("coalesce(sum(reviewed), 0) AS reviews"),
     )
+    # Every age range has a download and a row of users; each side holds one row per range.
+    return downloads.join(did, "age_range")

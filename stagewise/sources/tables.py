@@ -24,6 +24,11 @@ class FunnelTables:
     def items(self):
         return [(f.name, getattr(self, f.name)) for f in fields(self)]
 
+    @property
+    def ride_parts(self) -> tuple[DataFrame, ...]:
+        """Ride facts that are stored with their ``paid`` and ``reviewed`` flags, if any (see ``buckets.py``)."""
+        return ()
+
 
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Derived columns of table ``name`` in schema order and with its types."""
