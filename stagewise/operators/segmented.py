@@ -24,14 +24,16 @@ qualifies; that is kept through a ``present`` flag. No step uses Expand.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.labels import quote
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import FunnelTables
 from .segments import APPROVED
 from .stage_counts import unpivot_sql
@@ -255,21 +257,41 @@ def _count_per_dims(df: DataFrame, dims: list[str], col: str) -> DataFrame:
     return df.where(f"{col} IS NOT NULL").select(*dims, col).distinct().groupBy(*dims).agg(F.expr("count(*) AS n"))
 
 
-def _members(matched: DataFrame, names: list[str], shared: bool) -> DataFrame:
+def _members(matched: DataFrame, names: list[str]) -> DataFrame:
     """``user_id`` and its segments, distinct.
 
-    Never distinct by the user alone, for the same reason as in _reduced.
-    Shared with the counts of downloads and signups, the user leaves as the
-    result of an aggregate: the filter on it that a join infers then stays
-    above the common exchange, which so remains the same for all branches.
+    Never distinct by the user alone, for the same reason as in _reduced. The
+    user leaves as the result of an aggregate: the filter on it that a join
+    infers then stays above the common exchange, which so remains the same for
+    all branches.
     """
-    by = names or ["of_platform"]
-    if not shared:
-        return matched.where("user_id IS NOT NULL").select("user_id", *by).distinct().select("user_id", *names)
-    grouped = matched.withColumnRenamed("user_id", "of_user").groupBy("of_user", *by).agg(F.expr("max(of_user) AS user_id"))
+    grouped = matched.withColumnRenamed("user_id", "of_user").groupBy("of_user", *(names or ["of_platform"])).agg(F.expr("max(of_user) AS user_id"))
     return grouped.select("user_id", *names)
 
 
+def _written_members(members: DataFrame) -> DataFrame:
+    """``members`` as a written table, within the range of its users.
+
+    The range reaches the ride scan as a pushed filter, and as a selection over
+    a plain scan it lets Spark build a Bloom filter of the users for that scan.
+    """
+    spark = members.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/members-{uuid.uuid4().hex[:12]}"
+    seen = Observation(f"members-{uuid.uuid4().hex[:12]}")
+    members.where("user_id IS NOT NULL").observe(seen, F.expr("min(user_id) AS least"), F.expr("max(user_id) AS most")).write.parquet(path)
+    back = spark.read.schema(members.schema).parquet(path)
+    least, most = seen.get["least"], seen.get["most"]
+    return back if least is None else back.where(F.col("user_id").between(F.lit(least), F.lit(most)))
+
+
+def members_of(tables: FunnelTables, dims: Sequence[tuple[str, str]]) -> DataFrame:
+    """``user_id`` and the segments that each user's downloads and signups give, distinct; dims as in :func:`segmented_funnel`."""
+    names = [n for n, _ in dims]
+    downloads, signups, told = _reduced(tables, dims)
+    matched = downloads.join(signups, downloads.app_download_key == signups.session_id)
+    return _members(matched.selectExpr(*told, "user_id", "of_platform"), names).where("user_id IS NOT NULL")
+
+
 def segmented_funnel(
     tables: FunnelTables,
     steps: Sequence[SegmentStep],
@@ -287,10 +309,10 @@ def segmented_funnel(
     a step does not report is ``absent`` (NULL or 0).
 
     ``shared``: all branches reuse one exchange of the joined downloads and
-    signups. Without it they are joined once more for the rides; that pays
-    when the downloads are narrowed to few (a range of days), as Spark can then
-    build a Bloom filter of the users it reaches and drop other rides before
-    they are shuffled.
+    signups. Without it the users' segments are written first and read by the
+    rides' branch. That pays when the downloads are narrowed to few (a range of
+    days): rides of other users are then dropped at their scan, by the range of
+    the users and by a Bloom filter of them, before they are shuffled.
     """
     for s in steps:
         if s.grain not in GRAINS:
@@ -302,7 +324,9 @@ def segmented_funnel(
     if shared:
         # Dealt by all its columns: no branch can prune one below the exchange, so it is the same in each.
         matched = matched.repartition(*[F.col(c) for c in matched.columns])
-    user_dims = _members(matched, names, shared)
+    user_dims = _members(matched, names)
+    if not shared:
+        user_dims = _written_members(user_dims)
 
     parts: list[DataFrame] = []
     plain = [s for s in steps if s.grain == "download" or (s.grain == "signup" and s.predicate is None)]

@@ -18,8 +18,8 @@ from ..operators.duration import stage_duration
 from ..operators.hourly import bucket_hours, hourly_profile
 from ..operators.segmented import SegmentStep, segmented_funnel
 from ..operators.segments import APPROVED, MONEY, platform_scorecard, ride_requests_by_platform, segment_counts
-from ..operators.share import share_of_population
-from ..operators.spec import SIGNUP_FUNNEL, SIGNUP_TOP_FUNNEL, TEXT_ID_FUNNEL, TOP_FUNNEL, USER_FUNNEL
+from ..operators.share import shares_of_ids
+from ..operators.spec import SIGNUP_FUNNEL, SIGNUP_TOP_FUNNEL, TOP_FUNNEL, USER_FUNNEL
 from ..operators.stage_counts import stage_counts
 from ..operators.step_rates import drop_off_text_sql, step_rates
 from ..operators.user_flags import AGE_MEASURES, age_funnel_counts
@@ -198,14 +198,9 @@ def step_share_of_total(t: FunnelTables) -> DataFrame:
     The population mixes id domains (download keys, session ids and user ids
     as text), as the reference does; it is not a count of people.
     """
-    ids = [
-        (t.app_downloads, "app_download_key"),
-        (t.signups, "session_id"),
-        (t.ride_requests, "user_id"),
-        (t.reviews, "user_id"),
-    ]
-    shares = share_of_population(stage_counts(t, TEXT_ID_FUNNEL), ids, scale=2)
-    return _ordered(shares, "step", "count", "percentage_share")
+    ids = [("app_downloads", "app_download_key"), ("signups", "session_id"), ("ride_requests", "user_id"), ("reviews", "user_id")]
+    shares = shares_of_ids(t, USER_FUNNEL, ids, scale=2)
+    return _sorted_small(shares, "step_order").select("step", "count", "percentage_share")
 
 
 # ---- by platform, age and hour --------------------------------------------
@@ -313,12 +308,10 @@ def general_funnel(t: FunnelTables) -> DataFrame:
     )
 
 
-def segmented_funnel_q(t: FunnelTables) -> DataFrame:
+def dashboard_rows(t: FunnelTables, shared: bool = True) -> DataFrame:
     """The dashboard dataset: steps x platform x age range x download day."""
     dims = [("platform", "platform"), ("age_range", "age_range"), ("download_date", day_start_sql("download_ts"))]
-    out = segmented_funnel(t, SEGMENTED_STEPS, dims, absent=0)
-    order = ["download_date", "step", "platform", "age_range"]
-    return out.orderBy(*[F.expr(f"{c}").asc_nulls_last() for c in order]).selectExpr(
+    return segmented_funnel(t, SEGMENTED_STEPS, dims, absent=0, shared=shared).selectExpr(
         "step AS funnel_step",
         "name AS funnel_name",
         "platform",
@@ -329,6 +322,12 @@ def segmented_funnel_q(t: FunnelTables) -> DataFrame:
     )
 
 
+def segmented_funnel_q(t: FunnelTables) -> DataFrame:
+    """The dashboard dataset in the reference's order."""
+    order = ["download_date", "funnel_step", "platform", "age_range"]
+    return dashboard_rows(t).orderBy(*[F.expr(f"{c}").asc_nulls_last() for c in order])
+
+
 def segmented_funnel_alt(t: FunnelTables) -> DataFrame:
     """Steps 0-6 with the alternative definitions: completed = not cancelled,
     reviews linked by user, a download day as DATE."""

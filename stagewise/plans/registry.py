@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import load_tables
 from .oracle import ORACLE_SQL
 from .queries import PLANS
+from .stored import ORACLE_SQL as STORED_SQL
+from .stored import QUERIES as STORED
 
 
 def _bind(plan) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,8 +23,8 @@ def _bind(plan) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _bind(plan) for name, plan in PLANS.items()}
+    return {name: _bind(plan) for name, plan in PLANS.items()} | STORED
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    return ORACLE_SQL | STORED_SQL

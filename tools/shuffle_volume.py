@@ -6,7 +6,10 @@ then sums, per form, the records and bytes written to shuffles and the rows
 read from files. Latency at small scale is dominated by fixed overhead; the
 shuffle volume is what grows with the data.
 
-    python tools/shuffle_volume.py [--no-broadcast] [sf_dir] [query ...]
+    python tools/shuffle_volume.py [--no-broadcast] [--days=N] [sf_dir] [query ...]
+
+``--days`` adds the dashboard funnel of the first N download days in both forms,
+with a Bloom filter of the reached users at the ride scan and without.
 
 ``--no-broadcast`` turns broadcast joins off, so every join is a shuffle
 join, as it would be when both sides are large.
@@ -14,6 +17,7 @@ join, as it would be when both sides are large.
 
 from __future__ import annotations
 
+import datetime
 import glob
 import json
 import os
@@ -23,9 +27,10 @@ import tempfile
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from stagewise.plans.oracle import Q, build  # noqa: E402
-from stagewise.plans.queries import PLANS  # noqa: E402
+from stagewise.plans.queries import PLANS, dashboard_rows  # noqa: E402
 from stagewise.session import build_session  # noqa: E402
 from stagewise.sources import materialize_tables  # noqa: E402
+from stagewise.sources.days import downloaded  # noqa: E402
 
 DEFAULT = ["age_funnel_counts", "general_funnel", "segmented_funnel", "segmented_funnel_alt"]
 
@@ -33,7 +38,8 @@ DEFAULT = ["age_funnel_counts", "general_funnel", "segmented_funnel", "segmented
 def main() -> None:
     args = sys.argv[1:]
     no_broadcast = "--no-broadcast" in args
-    args = [a for a in args if a != "--no-broadcast"]
+    days = next((int(a.removeprefix("--days=")) for a in args if a.startswith("--days=")), 0)
+    args = [a for a in args if not a.startswith("--")]
     sf_dir = args[0] if args else "/root/testdata/sf0.1"
     names = args[1:] or DEFAULT
     extra = (
@@ -61,6 +67,15 @@ def main() -> None:
         for form, make in (("rewrite", lambda: PLANS[name](tables)), ("naive", lambda: spark.sql(build(Q[name], None)))):
             sc.setJobGroup(f"{name}|{form}", form)
             make().write.format("noop").mode("overwrite").save()
+    if days:
+        # The first days of downloads only: rides of other users leave at the scan, or after the shuffle.
+        for key, value in (("applicationSideScanSizeThreshold", "0"), ("creationSideThreshold", "1g")):
+            spark.conf.set(f"spark.sql.optimizer.runtime.bloomFilter.{key}", value)
+        first = tables.app_downloads.selectExpr("min(to_date(download_ts))").first()[0]
+        few = downloaded(tables, first, first + datetime.timedelta(days=days - 1))
+        for form in ("written members", "shared join"):
+            sc.setJobGroup(f"first {days} days|{form}", form)
+            dashboard_rows(few, shared=form == "shared join").write.format("noop").mode("overwrite").save()
     spark.stop()
 
     path = [p for p in glob.glob(f"{evdir}/**", recursive=True) if os.path.isfile(p)][0]
