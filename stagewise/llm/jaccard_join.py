@@ -19,7 +19,7 @@ equal in both (or differs by one shingle, where a segment counts twice).
    central class there; verified pairs form components. This only saves work.
 4. Owners get what the remaining classes ask and hold, and return the pairs of
    different components whose sizes and sketches do not rule a link out (a
-   sketch counts shingles modulo 2 in 512 cells; cells that differ are at most
+   sketch counts shingles modulo 2 in 1024 cells; cells that differ are at most
    the shingles that differ).
 5. All returned pairs are verified exactly on whole texts, and components are
    formed from all verified pairs. No pair is dropped: a pair within a component
@@ -44,14 +44,18 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import NOT_SPACE, mix, slices, word_hashes
-from .scratch import shuffle_width, staged
+from .scratch import keyed_rows, shuffle_width, staged
 
 K = 5
 PERCENT = 75
 #: Bands below this one hold sizes so small that their universe is cut finer, and their neighbourhoods are indexed.
 SMALL_BAND, SMALL_BITS = 6, 12
-SKETCH_BITS = 512
-PACKET = 1 << 21
+SKETCH_BITS = 1024
+PACKET = 1 << 20
+#: Classes that a task remembers to have sent: one for each slot of a table.
+SEEN = 1 << 16
+#: A class's candidates are gathered in so many lists.
+SLOTS = 4
 #: Below this many surviving classes their ids (16 bytes each) are sent to all tasks; beyond, texts and ids are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -164,7 +168,7 @@ def _segments(percent: int, k: int, buckets: int) -> Callable:
     """Texts to packets: by bucket, the classes and their keys (30 bits of the hash, the band's parity, deletion or not)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = np.zeros(SEEN, np.uint64)  # a class that comes again is sent again only if another took its slot
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -187,12 +191,10 @@ def _segments(percent: int, k: int, buckets: int) -> Callable:
                 names = []
                 for s in shingle_sets(texts.slice(a, b - a), k):
                     name = int(mix(s).sum(dtype=np.uint64))
-                    if len(s) and name not in seen:
-                        seen.add(name)
+                    if len(s) and int(seen[name % SEEN]) != name:
+                        seen[name % SEEN] = name
                         sets.append(s)
                         names.append(name)
-                if len(seen) > 1_000_000:
-                    seen.clear()
                 if not sets:
                     continue
                 names = np.array(names, np.uint64)
@@ -345,8 +347,8 @@ def _verify(percent: int, k: int) -> Callable:
     return run
 
 
-def _packets(buckets: int) -> Callable:
-    """Surviving classes to packets by bucket: node, label, size, sketch, and its keys there with what it asks."""
+def _packets(dealt: int) -> Callable:
+    """Surviving classes to packets by partition of the buckets: node, label, size, sketch, and its keys there with what it asks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,8 +359,8 @@ def _packets(buckets: int) -> Callable:
                 bucket = np.frombuffer(b"".join(r["buckets"] for r in rows), np.int32)
                 keys = np.frombuffer(b"".join(r["keys"] for r in rows), np.uint32)
                 asks = np.concatenate([np.unpackbits(np.frombuffer(r["asks"], np.uint8), count=c) for r, c in zip(rows, count, strict=True)])
-                order = np.lexsort((own, bucket))
-                first, size = _runs(bucket[order])
+                order = np.lexsort((own, bucket % dealt))
+                first, size = _runs((bucket % dealt)[order])
                 out = []
                 for a, n in zip(first, size, strict=True):
                     part = order[a : a + n]
@@ -366,58 +368,92 @@ def _packets(buckets: int) -> Callable:
                     members = [rows[i] for i in own[part][begin]]
                     out.append(
                         (
-                            int(bucket[part[0]]),
+                            int(bucket[part[0]] % dealt),
                             np.array([[m["node"], m["label"], m["n"]] for m in members], np.int64).tobytes(),
                             b"".join(m["sketch"] for m in members),
                             runs.astype(np.uint32).tobytes(),
+                            bucket[part].tobytes(),
                             keys[part].tobytes(),
                             np.packbits(asks[part]).tobytes(),
                         )
                     )
-                kinds = (pa.int32(), *[pa.binary()] * 5)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "members", "sketches", "counts", "keys", "asks"])
+                kinds = (pa.int32(), *[pa.binary()] * 6)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "members", "sketches", "counts", "buckets", "keys", "asks"])
 
     return run
 
 
 def _candidates(percent: int) -> Callable:
-    """Pairs of different labels in one group of a partition's buckets, one of which asks there, that size and sketch allow."""
+    """For each class the classes of other labels that it meets in a group of this partition, where one of the two asks and size and sketch allow a link.
+
+    Pairs that meet in several groups are told once, in lists by their smaller class.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
+        held: list[tuple] = []
         for batch in batches:
-            for bucket, members, sketches, counts, keys, asks in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for members, sketches, counts, buckets, keys, asks in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
                 count, key = np.frombuffer(counts, np.uint32), np.frombuffer(keys, np.uint32)
-                held.setdefault(bucket, []).append(
-                    (np.frombuffer(members, np.int64).reshape(-1, 3), np.frombuffer(sketches, np.uint64).reshape(-1, SKETCH_BITS // 64), count, key, np.unpackbits(np.frombuffer(asks, np.uint8), count=len(key)).astype(bool))
-                )
+                group = (np.frombuffer(buckets, np.int32).astype(np.int64) << 31) | (key >> np.uint32(1)).astype(np.int64)
+                held.append((np.frombuffer(members, np.int64).reshape(-1, 3), np.frombuffer(sketches, np.uint64).reshape(-1, SKETCH_BITS // 64), count, group, np.unpackbits(np.frombuffer(asks, np.uint8), count=len(key)).astype(bool)))
+        if not held:
+            return
+        members, sketches, counts, group, asks = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(group, kind="stable")
+        own, asks = np.repeat(np.arange(len(members), dtype=np.int32), counts)[order], asks[order]
+        first, size = _runs(group[order])
+        label = members[own, 1]
+        mixed = (np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)) & np.logical_or.reduceat(asks, first)
         found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
         gathered = 0
-        for parts in held.values():
-            members, sketches, counts, keys, asks = (np.concatenate(x) for x in zip(*parts, strict=True))
-            own = np.repeat(np.arange(len(members)), counts)
-            order = np.argsort(keys >> np.uint32(1), kind="stable")
-            own, group, asks = own[order], (keys >> np.uint32(1))[order], asks[order]
-            first, size = _runs(group)
-            label = members[own, 1]
-            mixed = (np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)) & np.logical_or.reduceat(asks, first)
-            for at, n in zip(first[mixed], size[mixed], strict=True):
-                here = own[at : at + n]
-                asking = np.unique(here[asks[at : at + n]])
-                here = np.unique(here)
-                for part in range(0, len(asking), 512):
-                    found.append(_allowed(members, sketches, asking[part : part + 512], here, percent))
+        for at, n in zip(first[mixed], size[mixed], strict=True):
+            here = own[at : at + n]
+            asking = np.unique(here[asks[at : at + n]])
+            here = np.unique(here)
+            for left in range(0, len(asking), 256):
+                for right in range(0, len(here), 4096):
+                    found.append(_allowed(members, sketches, asking[left : left + 256], here[right : right + 4096], percent))
                     gathered += len(found[-1])
-                if gathered > 1 << 20:
-                    found = [np.unique(np.concatenate(found), axis=0)]
-                    gathered = 0
+            if gathered > 1 << 20:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                gathered = 0
         pairs = np.unique(np.concatenate(found), axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        slot = mix(pairs[:, 1].astype(np.uint64)) % np.uint64(SLOTS)
+        order = np.lexsort((slot, pairs[:, 0]))
+        pairs, slot = pairs[order], slot[order].astype(np.int64)
+        first, size = _runs(pairs[:, 0] * SLOTS + slot)
+        for at in range(0, len(first), 5000):
+            ends = [(int(a), int(a + n)) for a, n in zip(first[at : at + 5000], size[at : at + 5000], strict=True)]
+            lists = pa.array([pairs[a:b, 1].tobytes() for a, b in ends], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[first[at : at + 5000], 0]), pa.array(slot[first[at : at + 5000]]), lists], ["a", "slot", "others"])
 
     return run
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists of one class and slot, which arrive together, as pairs without repeats."""
+    now, lists, held = None, [], 0
+
+    def pairs() -> pa.RecordBatch:
+        others = np.unique(np.concatenate(lists))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(others), now[0])), pa.array(others)], ["a", "b"])
+
+    for batch in batches:
+        for *key, others in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if key != now:
+                if lists:
+                    yield pairs()
+                now, lists, held = key, [], 0
+            lists.append(np.frombuffer(others, np.int64))
+            held += len(lists[-1])
+            if held > 1 << 20:
+                lists = [np.unique(np.concatenate(lists))]
+                held = 0
+    if lists:
+        yield pairs()
+
+
 def _allowed(members: np.ndarray, sketches: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
     a, b = members[left], members[right]
     small, large = np.minimum(a[:, None, 2], b[None, :, 2]), np.maximum(a[:, None, 2], b[None, :, 2])
@@ -440,7 +476,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = staged(staged(classes, "join-classes").withColumn("node", F.monotonically_increasing_id()), "join-nodes")
 
     total = known.agg(F.sum(F.col("own") + F.col("guest"))).first()[0] or 0
-    buckets = int(max(shuffle_width(spark), total // (2 << 20) + 1))
+    buckets = int(max(shuffle_width(spark), total // (1 << 20) + 1))
     packets = rows.select("text").mapInArrow(_segments(percent, k, buckets), "bucket int, classes binary, counts binary, keys binary")
     shared = packets.repartitionById(buckets, F.col("bucket")).mapInArrow(functools.partial(_shared, parts_=buckets), "part int, bucket int, classes binary, counts binary, keys binary, numbers binary")
     shared = shared.repartitionById(buckets, F.col("part")).mapInArrow(_by_class, "k1 bigint, buckets binary, keys binary, numbers binary")
@@ -469,11 +505,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = staged(components(first, rounds=2), "join-labels")
     named = alive.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("label", F.coalesce("label", "node"))
     named = named.select("node", "label", "n", "sketch", "buckets", "keys", "asks")
-    packets = named.mapInArrow(_packets(buckets), "bucket int, members binary, sketches binary, counts binary, keys binary, asks binary")
-    # Fewer partitions than buckets: a pair that meets in many groups is sent once by each partition.
+    # Fewer partitions than buckets: a pair that meets in many groups is told once by each partition.
     entries = alive.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
-    dealt = min(buckets, entries // (4 << 20) + 8)
-    pairs = packets.repartitionById(dealt, F.col("bucket") % dealt).mapInArrow(_candidates(percent), "a bigint, b bigint").distinct()
+    dealt = int(min(buckets, entries // (4 << 20) + 8))
+    packets = named.mapInArrow(_packets(dealt), "part int, members binary, sketches binary, counts binary, buckets binary, keys binary, asks binary")
+    lists = packets.repartitionById(dealt, F.col("part")).mapInArrow(_candidates(percent), "a bigint, slot bigint, others binary")
+    pairs = lists.repartition(shuffle_width(spark), "a", "slot").sortWithinPartitions("a", "slot").mapInArrow(_united, "a bigint, b bigint")
     rest = verified(staged(pairs, "join-pairs"), "join-rest")
 
     forest = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
@@ -486,11 +523,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with the document of the smallest id of each component; rows that share an id stay or leave together, rows without one stay."""
-    found = near_duplicates(docs, id_col, **options)
-    gone = staged(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "join-gone")
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component of ``docs``: that with the smallest id (null last), of rows that share it any one.
+
+    Rows are named by their place in the files they are read from, so rows that
+    repeat an id, or have none, are told apart.
+    """
+    whole = keyed_rows(docs, "join-rows")
+    of = F.col(f"whole.{id_col}")
+    rows = whole.select(F.struct(of.isNull().alias("no_id"), of.alias("id"), "row").alias("id"), F.col(f"whole.{text_col}").alias("text"))
+    found = near_duplicates(rows, "id", "text", **options)
+    gone = staged(found.where(F.col("id") != F.col("component_id")).select("id.row"), "join-gone")
+    return whole.join(gone, "row", "left_anti").select("whole.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -50,7 +50,7 @@ def _pow(base: int, n: int) -> np.ndarray:
     have = _POW.get(base)
     if have is None or len(have) < n:
         have = _powers(base, max(n, (1 << 18) + 1))
-        if len(have) <= (1 << 22):
+        if len(have) <= (1 << 19):
             _POW[base] = have
     return have[:n]
 

@@ -9,7 +9,7 @@ target by less than the one document that is left at the end.
 
 The rounding is a reduction tree. A leaf holds at most about ``leaf_rows``
 documents of one source (a source of any size has as many leaves as it needs,
-dealt by a hash of id and text), leaves one undecided document, and the
+dealt by a hash of id and text; equal rows are numbered and spread), leaves one undecided document, and the
 undecided ones of ``fan_in`` leaves meet on the next level. Each level's rows
 are written below the shared folder; draws come from the level, source and
 leaf, and rows are sorted first, so reruns agree.
@@ -17,7 +17,7 @@ leaf, and rows are sorted first, so reruns agree.
 The targets are one row per source: sources by code point, null last, weigh
 ``weights`` in turn and share ``share`` times all words; a target stops at
 ``cap`` times its source, and the excess goes to the others by weight (the
-water level is found with one pass of running sums over the sources).
+water level is found with running sums over ranges of sources).
 
 Defined results: null or empty text has size 0 and takes 0 words; a source
 without words has target 0; a null source is a source of its own; ties are
@@ -28,16 +28,16 @@ interchangeable; an empty table gives an empty mix; further columns are kept.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .kernels import NOT_SPACE, word_counts
-from .scratch import staged
+from .ranges import before
+from .scratch import keyed_rows, staged
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -49,18 +49,25 @@ NEAR = 1e-9
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """``sizes`` (source, source_size) with the columns ``weight`` and ``target``."""
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")))
-    ratio = Window.orderBy((F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    capped = F.coalesce(F.sum(cap * F.col("source_size")).over(ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(ratio.rowsBetween(0, Window.unboundedFollowing))
-    total = F.sum("source_size").over(Window.partitionBy())
-    level = weighed.withColumn("level", (share * total - capped) / rest)
-    fits = F.when(F.col("level") * F.col("weight") <= cap * F.col("source_size"), F.struct((F.col("source_size") / F.col("weight")).alias("ratio"), "level"))
-    level = level.withColumn("level", F.min(fits).over(Window.partitionBy())["level"])
+    """``sizes`` (source, source_size) with the columns ``place`` (from 1, by code point), ``weight`` and ``target``.
+
+    Places and running sums are taken over ranges of sources, so their number
+    may be that of the documents.
+    """
+    listed = before(sizes.withColumn("one", F.lit(1)), [F.col("source").asc_nulls_last()], {"place": F.col("one")}, "mix-sources")
+    weighed = listed.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")))
+    weighed = weighed.withColumn("place", F.col("place") + 1).withColumn("ratio", F.col("source_size") / F.col("weight"))
+    filled = before(weighed, [F.col("ratio").asc(), F.col("place").asc()], {"capped": cap * F.col("source_size"), "lighter": F.col("weight")}, "mix-ratios")
+    total = filled.agg(F.sum("source_size").alias("all_words"), F.sum("weight").alias("all_weight"))
+    filled = filled.crossJoin(F.broadcast(total))  # one row
+    level = (share * F.col("all_words") - F.col("capped")) / (F.col("all_weight") - F.col("lighter"))
+    filled = filled.withColumn("level", level)
+    # The lowest ratio whose source does not reach its cap sets the level of all that follow.
+    fits = filled.where(F.col("level") * F.col("weight") <= cap * F.col("source_size")).agg(F.min(F.struct("ratio", "place", "level")).alias("first"))
+    out = filled.drop("level").crossJoin(F.broadcast(fits))  # one row
     limit = cap * F.col("source_size")
-    return level.withColumn("target", F.coalesce(F.least(limit, F.col("level") * F.col("weight")), limit)).drop("level")
+    target = F.coalesce(F.least(limit, F.col("first")["level"] * F.col("weight")), limit)
+    return out.withColumn("target", target).drop("one", "ratio", "capped", "lighter", "all_words", "all_weight", "first")
 
 
 def pivot(size: np.ndarray, prob: np.ndarray, draw: Callable[[], float]) -> int:
@@ -91,7 +98,7 @@ def pivot(size: np.ndarray, prob: np.ndarray, draw: Callable[[], float]) -> int:
 
 def _rounder(level: int, last: bool, seed: int) -> Callable[[pa.Table], pa.Table]:
     def run(leaf: pa.Table) -> pa.Table:
-        leaf = leaf.sort_by([("size", "descending"), ("hash", "ascending"), ("row", "ascending")])
+        leaf = leaf.sort_by([("size", "descending"), ("hash", "ascending"), ("row", "ascending"), ("equal", "ascending")])
         random = np.random.Generator(np.random.PCG64([seed, level, leaf["place"][0].as_py(), leaf["leaf"][0].as_py()]))
         prob = leaf["prob"].to_numpy().copy()
         held = pivot(leaf["size"].to_numpy().astype(float), prob, random.random)
@@ -105,10 +112,12 @@ def _rounder(level: int, last: bool, seed: int) -> Callable[[pa.Table], pa.Table
 
 
 def copies(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, leaf_rows: int = LEAF_ROWS, fan_in: int = FAN_IN, seed: int = 0) -> DataFrame:
-    """``rows`` (row, hash, source, size) with ``source_size``, ``target`` and ``copies``, how often the mix takes each."""
+    """``rows`` (row, hash, equal, source, size) with ``source_size``, ``target`` and ``copies``, how often the mix takes each.
+
+    ``equal`` numbers rows of one ``hash``: they are dealt to different leaves.
+    """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    aims = targets(sizes, weights, share, cap).withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("bigint"))
-    aims = staged(aims.withColumnRenamed("source", "of"), "mix-targets")
+    aims = staged(targets(sizes, weights, share, cap).withColumnRenamed("source", "of"), "mix-targets")
     most = aims.agg(F.max("n")).first()[0] or 0
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     leaves = F.ceil(F.col("n") / leaf_rows)
@@ -117,9 +126,9 @@ def copies(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap:
         .withColumn("times", times)
         .withColumn("whole", F.floor(F.col("times") + NEAR).cast("int"))
         .withColumn("prob", F.when(F.col("size") > 0, F.greatest(F.col("times") - F.col("whole"), F.lit(0.0))).otherwise(0.0))
-        .withColumn("leaf", F.pmod(F.xxhash64("hash", F.lit(seed)), leaves))
+        .withColumn("leaf", F.pmod(F.xxhash64("hash", "equal", F.lit(seed)), leaves))
         .withColumn("decided", F.lit(False))
-        .select("row", "hash", "source", "size", "source_size", "target", "place", "leaf", "whole", "prob", "decided")
+        .select("row", "hash", "equal", "source", "size", "source_size", "target", "place", "leaf", "whole", "prob", "decided")
     )
     done, level, width = [], 0, math.ceil(most / leaf_rows)
     while True:
@@ -135,38 +144,38 @@ def copies(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap:
     return out.withColumn("copies", F.col("whole") + F.round("prob").cast("int"))
 
 
-def _sizer(keep: list[str], text: str, name: str) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = batch.select(keep)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(word_counts(batch.column(text), NOT_SPACE))], [*keep, name])
-
-    return run
-
-
 def sized(rows: DataFrame, text: str = "text") -> DataFrame:
     """``rows`` with the column ``text`` replaced by ``size``, its words; null has none."""
-    keep = [c for c in rows.columns if c != text]
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text)
-    return rows.mapInArrow(_sizer(keep, text, "size"), f"{kind}, size bigint")
+
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array(word_counts(texts, NOT_SPACE))
+
+    return rows.withColumn("size", F.arrow_udf(count, "bigint")(F.col(text).cast("string"))).drop(text)
 
 
 def mix(docs: DataFrame, source: str = "source", text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it was drawn, with the columns of ``docs``.
 
-    Rows are numbered in a written table, so equal ids do no harm.
+    Rows are named by their place in the files they are read from, so equal ids
+    do no harm and the texts are not written again.
     """
-    whole = staged(docs.select(F.struct(*docs.columns).alias("whole"), F.monotonically_increasing_id().alias("row")), "mix-rows")
+    whole = keyed_rows(docs, "mix-rows")
     body = F.col(f"whole.{text}")
-    rows = whole.select("row", F.xxhash64(f"whole.{id_col}", body).alias("hash"), F.col(f"whole.{source}").alias("source"), body.alias("text"))
-    drawn = copies(staged(sized(rows), "mix-sizes"), **options).where("copies > 0").select(F.col("row").alias("drawn"), "copies")
+    rows = whole.select("row", F.xxhash64(f"whole.{id_col}", body).alias("hash"), F.xxhash64("row").alias("equal"), F.col(f"whole.{source}").alias("source"), body.alias("text"))
+    sizes = staged(sized(rows), "mix-sizes")
+    drawn = copies(sizes, **options).where("copies > 0").select(F.col("row").alias("drawn"), "copies")
     taken = whole.join(drawn, F.col("row") == F.col("drawn"))
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("whole.*")
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
-    """The contract's columns, with the number of copies."""
-    rows = docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("hash"), "text")
-    rows = staged(sized(rows), "mix-sizes").withColumnRenamed("doc_id", "row")
-    got = copies(rows, **options)
+    """The contract's columns, with the number of copies.
+
+    Rows equal in id, text and source are counted first and then numbered, so
+    that many of them are spread over many leaves.
+    """
+    rows = sized(docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("hash"), "text"))
+    rows = rows.groupBy("doc_id", "source", "hash", "size").agg(F.count("*").alias("n"))
+    rows = rows.select(F.col("doc_id").alias("row"), "source", "hash", "size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("equal"))
+    got = copies(staged(rows, "mix-sizes"), **options)
     return got.select(F.col("row").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

@@ -8,8 +8,8 @@ documents.
 
 Features of the whole text are present or not: its words (letters and digits,
 lower case) and their first bytes, its runs of other signs, and bands of how much is upper case,
-signs, digits or repeated words, and of the length. Each is a 64-bit hash; the
-``max_features`` hashes that most rated texts hold get a weight.
+signs, digits or repeated words, and of the length. Each is hashed into one of
+``2 ** BITS`` buckets, and every bucket has a weight.
 
 The model is fitted in one task on a sample of at most ``max_rows`` rated
 documents, those with the smallest hash of their id; all documents are scored,
@@ -38,8 +38,7 @@ from .scratch import staged
 
 GRADES = 3
 MAX_ROWS = 20_000
-MAX_FEATURES = 1 << 16
-LEAST_TEXTS = 4
+BITS = 18
 STEPS = 150
 RATE = 0.08
 RIDGE = 1.0
@@ -62,41 +61,54 @@ def _share(mask: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarr
     return np.floor(15 * np.sqrt(part / np.maximum(all_, 1))).astype(np.uint64)
 
 
-def features(col: pa.Array) -> Iterator[np.ndarray]:
-    """The distinct feature hashes of each text."""
+def hashed(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each slice of texts: their number, and (text, bucket) of all features that they hold, each once, in order."""
     for a, b in slices(col):
         buf, offsets = utf8(col.slice(a, b - a))
+        n = b - a
         low = LOWER[buf]
-        starts, ends, rows = word_spans(low, offsets, ALNUM)
-        words = hash_spans(low, starts, ends, 1)
-        stems = hash_spans(low, starts, np.minimum(ends, starts + STEM_BYTES), 3)
-        starts, ends, sign_rows = word_spans(buf, offsets, _SIGN)
-        signs = hash_spans(buf, starts, ends, 2)
+        starts, ends, at = word_spans(low, offsets, ALNUM)
+        of_word = np.repeat(np.arange(n), np.diff(at))
+        words = _buckets(of_word, hash_spans(low, starts, ends, 1))
+        stems = _buckets(of_word, hash_spans(low, starts, np.minimum(ends, starts + STEM_BYTES), 3))
+        starts, ends, sign_at = word_spans(buf, offsets, _SIGN)
+        signs = _buckets(np.repeat(np.arange(n), np.diff(sign_at)), hash_spans(buf, starts, ends, 2))
         ink = NOT_SPACE[buf]
         bands = [_share(_UPPER[buf], offsets, _LETTER[buf]), _share(_SIGN[buf], offsets, ink), _share(_DIGIT[buf], offsets, ink)]
-        size = np.floor(np.log2(np.diff(rows) + 1.0)).astype(np.uint64)
-        for k in range(b - a):
-            own = np.unique(words[rows[k] : rows[k + 1]])
-            n = int(rows[k + 1] - rows[k])
-            fresh = np.uint64(15 * len(own) // n if n else 0)
-            tags = np.array([*(band[k] + np.uint64(100 * i) for i, band in enumerate(bands, 1)), size[k] + np.uint64(400), fresh + np.uint64(500) + np.uint64(20) * min(size[k], np.uint64(12))], np.uint64)
-            yield np.concatenate([own, np.unique(stems[rows[k] : rows[k + 1]]), np.unique(signs[sign_rows[k] : sign_rows[k + 1]]), mix(tags ^ np.uint64(0xD1B54A32D192ED03))])
+        count = np.diff(at)
+        size = np.floor(np.log2(count + 1.0)).astype(np.uint64)
+        fresh = (15 * np.bincount(words >> BITS, minlength=n) // np.maximum(count, 1)).astype(np.uint64)
+        tags = [band + np.uint64(100 * i) for i, band in enumerate(bands, 1)]
+        tags += [size + np.uint64(400), fresh + np.uint64(500) + np.uint64(20) * np.minimum(size, np.uint64(12))]
+        shape = [_buckets(np.arange(n), mix(t ^ np.uint64(0xD1B54A32D192ED03))) for t in tags]
+        held = np.unique(np.concatenate([words, stems, signs, *shape]))
+        yield n, held >> BITS, held & ((1 << BITS) - 1)
+
+
+def _buckets(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Text and bucket in one number, each pair once."""
+    return np.unique((rows.astype(np.int64) << BITS) | (hashes >> np.uint64(64 - BITS)).astype(np.int64))
+
+
+def features(col: pa.Array) -> Iterator[np.ndarray]:
+    """The buckets of each text."""
+    for n, rows, cols in hashed(col):
+        at = np.searchsorted(rows, np.arange(n + 1))
+        yield from (cols[at[k] : at[k + 1]] for k in range(n))
 
 
 @dataclass(frozen=True)
 class OrdinalModel:
-    """Sorted feature hashes with their weights, and the thresholds between the grades."""
+    """A weight for each bucket, and the thresholds between the grades."""
 
-    hashes: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
     def scores(self, col: pa.Array) -> np.ndarray:
-        out = []
-        for own in features(col):
-            at = np.minimum(np.searchsorted(self.hashes, own), max(len(self.hashes) - 1, 0))
-            out.append(self.weights[at][self.hashes[at] == own].sum() if len(self.hashes) else 0.0)
-        return np.array(out, float)
+        out = [np.zeros(0)]
+        for n, rows, cols in hashed(col):
+            out.append(np.bincount(rows, self.weights[cols], n))
+        return np.concatenate(out)
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(grade >= g) for g from 1: one column each."""
@@ -150,47 +162,32 @@ def grades(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.select(F.col(id_col).alias("id"), grade.alias("grade")).where("id IS NOT NULL AND grade IS NOT NULL").groupBy("id").agg(F.min("grade").alias("grade"))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
-    for batch in batches:
-        held += features(batch.column(0))
-    if held:
-        hashes, n = np.unique(np.concatenate(held), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n, pa.int64())], ["hash", "texts"])
-
-
-def _fitter(hashes, steps: int, ridge: float) -> Callable:
+def _fitter(steps: int, ridge: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, cols, grade = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-        known = hashes.value
         for batch in batches:
-            for own in features(batch.column(1)):
-                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                at = at[known[at] == own]
-                rows.append(np.full(len(at), len(rows) - 1))
-                cols.append(at)
+            at = len(grade)
+            for n, row, col in hashed(batch.column(1)):
+                rows.append((row + at).astype(np.int32))
+                cols.append(col.astype(np.int32))
+                at += n
             grade += batch.column(0).to_pylist()
-        weights, cuts = fit_ordinal(np.concatenate(rows), np.concatenate(cols), np.array(grade, np.int64), len(known), steps, ridge)
+        weights, cuts = fit_ordinal(np.concatenate(rows), np.concatenate(cols), np.array(grade, np.int64), 1 << BITS, steps, ridge)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([cuts.tobytes()])], ["weights", "cuts"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, steps: int = STEPS, ridge: float = RIDGE) -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, steps: int = STEPS, ridge: float = RIDGE) -> OrdinalModel:
     """Fit the model on at most ``max_rows`` rated documents."""
-    spark = docs.sparkSession
     rated = grades(labels, id_col).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     rated = F.broadcast(rated)  # max_rows ids and grades
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sample = staged(texts.join(rated, "id").groupBy("id").agg(F.min("grade").cast("int").alias("grade"), F.min("text").alias("text")), "quality-sample")
-    counts = sample.select("text").mapInArrow(_count, "hash bigint, texts bigint").groupBy("hash").agg(F.sum("texts").alias("texts"))
-    top = counts.where(F.col("texts") >= LEAST_TEXTS).orderBy(F.col("texts").desc(), "hash").limit(max_features).collect()
-    hashes = np.sort(np.array([r["hash"] for r in top], np.int64).view(np.uint64))
-    if not len(hashes):
-        return OrdinalModel(hashes, np.zeros(0), np.array([-1.0, -0.5]))
-    shared = spark.sparkContext.broadcast(hashes)
-    fitted = sample.coalesce(1).sortWithinPartitions(F.xxhash64("id"), "id").select("grade", "text").mapInArrow(_fitter(shared, steps, ridge), "weights binary, cuts binary").first()
-    return OrdinalModel(hashes, np.frombuffer(fitted["weights"], float), np.frombuffer(fitted["cuts"], float))
+    fitted = sample.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").select("grade", "text").mapInArrow(_fitter(steps, ridge), "weights binary, cuts binary").first()
+    if fitted is None:
+        return OrdinalModel(np.zeros(1 << BITS), np.array([-1.0, -0.5]))
+    return OrdinalModel(np.frombuffer(fitted["weights"], float), np.frombuffer(fitted["cuts"], float))
 
 
 def _scorer(model, keep: list[str], text: str) -> Callable:
@@ -212,10 +209,13 @@ def score(docs: DataFrame, model: OrdinalModel, keep: list[str], text_col: str =
 
 
 def select(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those whose tail probability is below ``keep_from``."""
-    model = fit(docs, labels, id_col, **options)
-    whole = docs.select(F.struct(*docs.columns).alias("whole"), F.col("text").cast("string").alias("text"))
-    return score(whole, model, ["whole"]).where(F.col("tail") >= keep_from).select("whole.*")
+    """``docs`` without those whose tail probability is below ``keep_from``; only texts go to the Python workers."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, **options))
+
+    def tail(texts: pa.Array) -> pa.Array:
+        return pa.array(shared.value.tails(shared.value.scores(texts))[:, -1])
+
+    return docs.where(F.arrow_udf(tail, "double")(F.col("text").cast("string")) >= keep_from)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

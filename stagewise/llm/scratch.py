@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,6 +40,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed_rows(docs: DataFrame, name: str) -> DataFrame:
+    """``whole`` (a struct of all columns) and ``row``, a text that no other row has and that every later read repeats.
+
+    A plain scan of files names a row by its file (128 bits of hash) and its
+    place there; anything else is written once and then is such a scan.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or "_metadata" in docs.columns:
+        docs = staged(docs, name)
+    path = F.col("_metadata.file_path")
+    row = F.concat_ws("-", F.hex(F.xxhash64(path)), F.hex(F.xxhash64(path, F.lit(1))), F.col("_metadata.row_index"))
+    return docs.select(F.struct(*docs.columns).alias("whole"), row.alias("row"))
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes the folders of ``staged`` tables that nothing reads any more."""
     for table in tables:

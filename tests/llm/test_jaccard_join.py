@@ -147,10 +147,39 @@ def test_components(spark):
 
 def test_dedup_and_empty(spark, documents):
     text = "these are more than five words that stand in two documents"
-    docs = documents([(5, text), (4, text + " x"), (6, "other words"), (7, None), (None, text)]).selectExpr("*", "1 AS gone")
+    docs = documents([(5, text), (4, text + " x"), (6, "other words"), (7, None), (None, text)]).selectExpr("*", "1 AS gone", "2 AS row", "3 AS whole")
     out = J.dedup(docs)
-    assert out.columns == docs.columns and sorted(str(r["doc_id"]) for r in out.collect()) == ["4", "6", "7", "None"]
+    assert out.columns == docs.columns and sorted(str(r["doc_id"]) for r in out.collect()) == ["4", "6", "7"]
     assert J.digest(documents([])).count() == 0 and J.digest(documents([(1, None)])).collect()[0]["component_id"] == 1
+    assert J.dedup(documents([])).count() == 0
+
+
+def test_dedup_keeps_one_row_of_repeated_rows_and_null_ids(spark, documents, tmp_path):
+    text = "these are more than five words that stand in several documents"
+    rows = [(3, text), (3, text), (3, text), (None, "quite other words that only rows without an id hold"), (None, "quite other words that only rows without an id hold"), (8, None), (8, None), (9, "one more")]
+    made = documents(rows)
+    made.write.parquet(str(tmp_path / "docs"))
+    for docs in (made, spark.read.parquet(str(tmp_path / "docs"))):
+        got = sorted((str(r["doc_id"]), r["text"]) for r in J.dedup(docs).collect())
+        # texts without words link with nothing, so both rows stay
+        assert got == sorted([("3", text), ("None", rows[3][1]), ("8", None), ("8", None), ("9", "one more")], key=str) or got == sorted([("3", text), ("None", rows[3][1]), ("8", None), ("8", None), ("9", "one more")], key=lambda x: (x[0], str(x[1])))
+
+
+def test_a_third_of_the_table_are_near_copies(spark, documents):
+    """Copies with a few words changed, some of which link and some of which just do not."""
+    r = random.Random(11)
+    words = [f"w{k}" for k in range(400)]
+    base = [r.choice(words) for _ in range(70)]
+    rows = []
+    for k in range(150):
+        own = list(base) if k % 3 == 0 else [r.choice(words) for _ in range(r.randrange(30, 90))]
+        if k % 3 == 0:
+            for _ in range(r.randrange(0, 4)):
+                own[r.randrange(len(own))] = r.choice(words)
+        rows.append((k, " ".join(own)))
+    got = J.digest(documents(rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert len({c for _, _, c in brute(rows)}) < 150
 
 
 def test_query(spark, sf):

@@ -1,9 +1,13 @@
+import re
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tables import documents, sf  # noqa: F401
 
 from stagewise.llm import quality as Q
+from stagewise.llm.kernels import hash_spans, mix
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -33,7 +37,7 @@ def test_fit_finds_the_minimum():
 
 
 def test_probabilities_are_ordered():
-    model = Q.OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.array([-1.0, 0.5]))
+    model = Q.OrdinalModel(np.zeros(0), np.array([-1.0, 0.5]))
     tails = model.tails(np.linspace(-5, 5, 11))
     assert (tails[:, 0] > tails[:, 1]).all() and (np.diff(tails, axis=0) > 0).all()
 
@@ -72,6 +76,49 @@ def test_odd_rows(spark, documents):
     assert Q.select(docs, nothing).count() == len(rows) and Q.digest(documents([]), labels).count() == 0
 
 
+def plain_features(text):
+    """The buckets of one text, word by word."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    top = lambda piece, seed: int(hash_spans(np.frombuffer(piece, np.uint8), np.array([0]), np.array([len(piece)]), seed)[0]) >> (64 - Q.BITS)
+    words = [w.encode() for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)]
+    out = {top(w, 1) for w in words}
+    fresh = 15 * len(out) // max(len(words), 1)
+    out |= {top(w[: Q.STEM_BYTES], 3) for w in words}
+    out |= {top(x.encode(), 2) for x in re.findall("[\x00-\x08\x0e-\x1f\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text)}
+    data = text.encode()
+    ink = sum(b != 32 and not 9 <= b <= 13 for b in data)
+    upper, digit = sum(65 <= b <= 90 for b in data), sum(48 <= b <= 57 for b in data)
+    letter = sum(65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in data)
+    share = lambda part, whole: int(np.floor(15 * np.sqrt(part / max(whole, 1))))
+    size = int(np.floor(np.log2(len(words) + 1)))
+    tags = [share(upper, letter) + 100, share(ink - letter - digit, ink) + 200, share(digit, ink) + 300, size + 400, fresh + 500 + 20 * min(size, 12)]
+    return out | {int(mix(np.array([t], np.uint64) ^ np.uint64(0xD1B54A32D192ED03))[0]) >> (64 - Q.BITS) for t in tags}
+
+
+def test_query_matches_brute_force(spark, sf):
+    """Features word by word, and a dense model fitted on the buckets that occur."""
+    from stagewise.llm.queries import QUERIES
+
+    docs = sorted((r["doc_id"], r["text"] or "") for r in pq.read_table(f"{sf}/documents.parquet").to_pylist())
+    grade = {}
+    for r in pq.read_table(f"{sf}/labels.parquet").to_pylist():
+        g = 0 if r["toxic"] == 1 else r["quality"] + 1 if r["quality"] is not None else None
+        if g is not None:
+            grade[r["doc_id"]] = min(g, grade.get(r["doc_id"], 2))
+    held = {d: plain_features(t) for d, t in docs}
+    rated = [d for d, _ in docs if d in grade]
+    names = {x: k for k, x in enumerate(sorted(set().union(*held.values())))}
+    rows, cols = np.array([(k, names[x]) for k, d in enumerate(rated) for x in sorted(held[d])]).T
+    weights, cuts = Q.fit_ordinal(rows, cols, np.array([grade[d] for d in rated]), len(names))
+    got = {r["doc_id"]: r for r in QUERIES["op1_quality_classifier"](spark, sf).collect()}
+    assert len(got) == len(docs)
+    for d, _ in docs:
+        score = sum(weights[names[x]] for x in held[d])
+        tails = 1 / (1 + np.exp(cuts - score))
+        assert got[d]["expected_grade"] == pytest.approx(tails.sum(), abs=2e-4) and got[d]["tail_probability"] == pytest.approx(tails[1], abs=2e-4)
+        assert got[d]["keep"] == (tails[1] >= Q.KEEP_FROM) or abs(tails[1] - Q.KEEP_FROM) < 1e-6
+
+
 def test_query_is_whole_and_repeatable(spark, sf):
     from stagewise.llm.queries import QUERIES
 
