@@ -4,9 +4,12 @@ Each task cuts its documents into training shards of a bounded number of words
 and builds a word-level suffix array of each shard by prefix doubling in numpy.
 Every suffix of every benchmark text is then binary-searched in the array; the
 interval of suffixes that share its first ``window`` words gives the places
-where it occurs verbatim. Places on one diagonal that follow each other make
-one longest match. Documents are never shuffled: all results of a document
-come from the shard that holds it.
+where it occurs verbatim. Suffixes that begin with the same window are searched
+once, and their items come in only after a document's windows are told apart,
+so texts that repeat themselves cost no more than others. From each place the
+longest match is found in a suffix array of the benchmark itself; those inside
+a match before are left out, and each names one item that holds it. Documents
+are never shuffled: all results of a document come from the shard that holds it.
 
 The benchmark is shipped to the tasks in blocks of at most ``block_bytes``
 bytes. One block is the usual case; a larger benchmark takes one pass over the
@@ -15,7 +18,7 @@ documents for each block, whose partial results meet by row number.
 Defined results: a null or empty text has no words and no hits; an item with
 fewer words than the window, but not none, is one window of all its words; an
 item without words matches nothing; several rows of one ``item_id`` count as
-one item; a null ``item_id`` counts as an item that is not listed; ties and
+one item; rows with a null ``item_id`` are one item, which counts and is not listed; ties and
 repeated rows are judged each on its own; an empty benchmark hits nothing;
 further columns are left alone, and a column named like a result column does
 not disturb it, as only the id and the text are read.
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ALNUM, slices, word_hashes
+from .kernels import ALNUM, mix, powers, slices, word_hashes
 from .scratch import staged
 
 WINDOW = 13
@@ -39,37 +42,63 @@ SHARD_WORDS = 1 << 19
 BLOCK_BYTES = 32 << 20
 
 MATCH = "array<struct<item:string,doc_word:bigint,item_word:bigint,words:bigint>>"
-REPORT = f"n_words bigint, hit array<struct<start:bigint,stop:bigint>>, items array<string>, matches {MATCH}"
+REPORT = f"n_words bigint, hit array<struct<start:bigint,stop:bigint>>, items array<string>, unnamed boolean, matches {MATCH}"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 _MATCH = pa.list_(pa.struct([("item", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("words", pa.int64())]))
 
 
 @dataclass(frozen=True)
 class TestSuffixes:
-    """All searched suffixes of one block of benchmark texts, sorted by nothing in particular."""
+    """One block of benchmark texts: their words in one line, the distinct windows to search, and their own suffix array."""
 
     names: list  # by item
-    item: np.ndarray  # of each suffix
-    at: np.ndarray  # its first word
-    length: np.ndarray  # words to match: the window, or a short item's words
-    words: np.ndarray  # (suffix, window) 64-bit word hashes, zero beyond length
+    flat: np.ndarray  # 64-bit hashes of all words, 0 after each item and ``window`` times at the end
+    item: np.ndarray  # of each place in ``flat``
+    first: np.ndarray  # of each place, the place where its item begins
+    start: np.ndarray  # place of each distinct window
+    length: np.ndarray  # its words: ``window``, or those of a short item
+    holders: np.ndarray  # the items of window w are holders[bounds[w] : bounds[w + 1]]
+    bounds: np.ndarray
+    ordered: np.ndarray  # sorted distinct word hashes
+    places: np.ndarray  # suffix array of ``flat``
+    longest: int  # words of the longest item
+    ends: np.ndarray  # of each place, where its item ends
+    window: int
 
 
 def test_suffixes(names: list, texts: list, window: int = WINDOW) -> TestSuffixes:
     hashes, rows = word_hashes(pa.array(texts, pa.string()), ALNUM)
-    item, at, length = [], [], []
-    for k in range(len(texts)):
-        n = int(rows[k + 1] - rows[k])
-        if n:
-            last = max(1, n - window + 1)
-            item.append(np.full(last, k))
-            at.append(np.arange(last))
-            length.append(np.full(last, min(window, n)))
-    cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-    item, at, length = cat(item), cat(at), cat(length)
-    where = rows[:-1][item][:, None] + at[:, None] + np.arange(window) if len(item) else np.zeros((0, window), np.int64)
-    words = np.where(np.arange(window) < length[:, None], np.append(hashes, np.uint64(0))[np.minimum(where, len(hashes))], np.uint64(0))
-    return TestSuffixes(list(names), item, at, length, words)
+    n = np.diff(rows)
+    item = np.repeat(np.arange(len(n)), n + 1)
+    begin = rows[:-1] + np.arange(len(n))
+    flat = np.zeros(len(item) + window, np.uint64)
+    flat[np.arange(len(hashes)) + np.repeat(np.arange(len(n)), n)] = hashes
+    count = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
+    of = np.repeat(np.arange(len(n)), count)
+    start = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    length = np.minimum(n[of], window)
+    sums = _Ranges(flat)
+    _, one, back = np.unique(sums.hashes(start, length) ^ mix(length.astype(np.uint64)), return_index=True, return_inverse=True)
+    held = np.unique(back.astype(np.int64) * max(len(n), 1) + of)
+    ordered = np.unique(hashes)
+    key = np.where(flat == 0, 0, np.searchsorted(ordered, flat) + 1).astype(np.uint64)
+    longest = int(n.max(initial=0))
+    places = suffix_array(key, longest + 1)[0] if len(key) > 1 else np.zeros(0, np.int64)
+    ends = np.append(np.repeat(begin + n, n + 1), np.zeros(window, np.int64))
+    item, where = np.append(item, np.full(window, -1)), np.append(np.repeat(begin, n + 1), np.zeros(window, np.int64))
+    return TestSuffixes(list(names), flat, item, where, start[one], length[one], held % max(len(n), 1), np.searchsorted(held // max(len(n), 1), np.arange(len(one) + 1)), ordered, places, longest, ends, window)
+
+
+class _Ranges:
+    """Hashes of any range of words, equal for equal ranges of two lines."""
+
+    def __init__(self, words: np.ndarray):
+        self.total = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * powers(False, len(words)), out=self.total[1:])
+        self.back = powers(True, len(words) + 1)
+
+    def hashes(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return (self.total[start + length] - self.total[start]) * self.back[start]
 
 
 def _short(hashes: np.ndarray) -> np.ndarray:
@@ -101,23 +130,26 @@ def suffix_array(key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def search(tests: TestSuffixes, hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix, position) of every place where a test suffix's words occur; hashes is 0 between documents."""
+    """(window, position) of every place where a distinct window's words occur; hashes is 0 between documents."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not len(hashes) or not len(tests.item):
+    if not len(hashes) or not len(tests.start):
         return none
     key = np.where(hashes == 0, np.uint64(0), _short(hashes))
     order, two, _ = suffix_array(key, window)
-    want = np.where(tests.words == 0, np.uint64(0), _short(tests.words))
     # The first two words give the interval in which the search for the rest starts.
     one = tests.length == 1
-    second = want[:, 1] if window > 1 else np.zeros(len(want), np.uint64)
-    low = np.searchsorted(two, (want[:, 0] << np.uint64(32)) | np.where(one, np.uint64(0), second), side="left")
-    high = np.searchsorted(two, (want[:, 0] << np.uint64(32)) | np.where(one, np.uint64(0xFFFFFFFF), second), side="right")
+    head = _short(tests.flat[tests.start])
+    second = np.where(one | (window == 1), np.uint64(0), _short(tests.flat[tests.start + 1]))
+    low = np.searchsorted(two, (head << np.uint64(32)) | second, side="left")
+    high = np.searchsorted(two, (head << np.uint64(32)) | np.where(one, np.uint64(0xFFFFFFFF), second), side="right")
     left = np.flatnonzero(high > low)
     if not len(left):
         return none
+    reach = np.arange(window)
+    length = tests.length[left]
+    whole_want = np.where(reach < length[:, None], tests.flat[tests.start[left][:, None] + reach], np.uint64(0))
+    want = np.where(reach < length[:, None], _short(whole_want), np.uint64(0))
     padded = np.concatenate([key, np.zeros(window, np.uint64)])
-    want, length, reach = want[left], tests.length[left], np.arange(window)
 
     def bound(a: np.ndarray, b: np.ndarray, after: bool) -> np.ndarray:
         a, b = a.copy(), b.copy()
@@ -138,59 +170,124 @@ def search(tests: TestSuffixes, hashes: np.ndarray, window: int) -> tuple[np.nda
     start = bound(low, high, False)
     stop = bound(start, high, True)
     count = stop - start
-    suffix = np.repeat(left, count)
-    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    position = order[np.repeat(start, count) + offset]
+    which = np.repeat(np.arange(len(left)), count)
+    position = order[np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
     # 32-bit keys order the array; the 64-bit hashes decide.
     whole = np.concatenate([hashes, np.zeros(window, np.uint64)])
     same = np.ones(len(position), dtype=bool)
     for k in range(window):
-        same &= (whole[position + k] == tests.words[suffix, k]) | (k >= tests.length[suffix])
-    return suffix[same], position[same]
+        same &= (whole[position + k] == whole_want[which, k]) | (k >= length[which])
+    return left[which[same]], position[same]
 
 
-def longest_matches(tests: TestSuffixes, suffix: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Places on one diagonal that follow each other, joined: item, position, item word, words."""
-    item, at, length = tests.item[suffix], tests.at[suffix], tests.length[suffix]
-    order = np.lexsort((position, position - at, item))
-    item, at, length, position = item[order], at[order], length[order], position[order]
-    new = np.ones(len(item), dtype=bool)
-    new[1:] = (item[1:] != item[:-1]) | (position[1:] - at[1:] != position[:-1] - at[:-1]) | (position[1:] != position[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(item)) - 1
-    return item[first], position[first], at[first], position[last] + length[last] - position[first]
+def longest_matches(tests: TestSuffixes, found: np.ndarray, position: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Position, words, and a place in the benchmark of the longest match from each position, without those inside an earlier one.
 
-
-def _judge(shard: list[tuple[np.ndarray, np.ndarray]], tests: TestSuffixes, window: int) -> Iterator[tuple]:
-    """For each document of a shard: words, hit spans, items, matches."""
-    counts = np.concatenate([np.diff(rows) for _, rows in shard])
+    The position's suffix is binary-searched in the benchmark's own suffix
+    array; the longer match with its two neighbours there is the longest of all.
+    """
+    order = np.lexsort((-tests.length[found], position))
+    found, position = found[order], position[order]
+    new = np.append(True, position[1:] != position[:-1])
+    found, position = found[new], position[new]
+    doc, test = _Ranges(hashes), _Ranges(tests.flat)
+    at = np.searchsorted(tests.ordered, hashes)
+    exact = tests.ordered[np.minimum(at, len(tests.ordered) - 1)] == hashes
+    # Ranks of words on one scale: the benchmark's are even, what ends a document is below all.
+    rank = np.append(np.where(hashes == 0, -1, 2 * at + np.where(exact, 2, 1)), -1)
+    own = np.append(np.where(tests.flat == 0, 0, 2 * np.searchsorted(tests.ordered, tests.flat) + 2), 0)
+    steps = [1 << k for k in reversed(range(max(tests.longest, 1).bit_length()))]
+
+    def common(place: np.ndarray) -> np.ndarray:
+        size = np.zeros(len(place), np.int64)
+        for step in steps:
+            more = size + step
+            fits = (position + more <= len(hashes)) & (place + more <= len(tests.flat))
+            a, b = np.where(fits, position, 0), np.where(fits, place, 0)
+            more_ = np.where(fits, more, 0)
+            same = fits & (doc.hashes(a, more_) == test.hashes(b, more_))
+            size = np.where(same, more, size)
+        # A match ends where its item or document does: nothing is equal to a mark between texts.
+        stop = tests.ends[place] - place
+        return np.minimum(size, np.maximum(stop, 0))
+
+    low, high = np.zeros(len(position), np.int64), np.full(len(position), len(tests.places))
+    while (low < high).any():
+        mid = np.minimum((low + high) >> 1, len(tests.places) - 1)
+        place = tests.places[mid]
+        size = common(place)
+        less = own[place + size] < rank[position + size]
+        open_ = low < high
+        low, high = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, high)
+    words, where = tests.length[found].copy(), tests.start[found].copy()
+    for beside in (low - 1, low):
+        place = tests.places[np.clip(beside, 0, len(tests.places) - 1)]
+        size = np.where((beside >= 0) & (beside < len(tests.places)), common(place), 0)
+        better = size > words
+        # A piece of a longer item counts from a window on.
+        better &= size >= np.minimum(tests.window, tests.ends[place] - tests.first[place])
+        words, where = np.where(better, size, words), np.where(better, place, where)
+    end = position + words
+    inside = np.append(False, end[1:] <= np.maximum.accumulate(end)[:-1])
+    return position[~inside], words[~inside], where[~inside]
+
+
+def _shard(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a shard's documents in one line with 0 after each, words by document, and where each begins."""
+    counts = np.concatenate([np.diff(rows) for _, rows in parts])
     begin = np.concatenate([[0], np.cumsum(counts + 1)]).astype(np.int64)
     hashes = np.zeros(begin[-1], dtype=np.uint64)
-    hashes[np.arange(counts.sum()) + np.repeat(np.arange(len(counts)), counts)] = np.concatenate([h for h, _ in shard])
-    suffix, position = search(tests, hashes, window)
-    if not len(suffix):
+    hashes[np.arange(counts.sum()) + np.repeat(np.arange(len(counts)), counts)] = np.concatenate([h for h, _ in parts])
+    return hashes, counts, begin
+
+
+def _cover(tests: TestSuffixes, found: np.ndarray, position: np.ndarray, n: int) -> np.ndarray:
+    """Which words are inside an occurrence."""
+    stop = position + tests.length[found]
+    return np.cumsum(np.bincount(position, minlength=n + 1) - np.bincount(stop, minlength=n + 1)) > 0
+
+
+def _judge(parts: list[tuple[np.ndarray, np.ndarray]], tests: TestSuffixes, window: int) -> Iterator[tuple]:
+    """For each document of a shard: words, hit spans, items, whether an unnamed item is among them, matches."""
+    hashes, counts, begin = _shard(parts)
+    found, position = search(tests, hashes, window)
+    if not len(found):
         for n in counts:
-            yield int(n), [], [], []
+            yield int(n), [], [], False, []
         return
-    stop = position + tests.length[suffix]
-    cover = np.cumsum(np.bincount(position, minlength=len(hashes) + 1) - np.bincount(stop, minlength=len(hashes) + 1)) > 0
+    cover = _cover(tests, found, position, len(hashes))
     edge = np.flatnonzero(np.diff(np.concatenate([[False], cover]).astype(np.int8)))
     spans, doc_of = edge.reshape(-1, 2), np.searchsorted(begin, edge[::2], side="right") - 1
-    item, where, at, words = longest_matches(tests, suffix, position)
-    doc = np.searchsorted(begin, where, side="right") - 1
-    by_doc, by_span = np.argsort(doc, kind="stable"), np.searchsorted(doc_of, np.arange(len(counts) + 1))
-    bounds = np.searchsorted(doc[by_doc], np.arange(len(counts) + 1))
+    by_span = np.searchsorted(doc_of, np.arange(len(counts) + 1))
+    where, words, place = longest_matches(tests, found, position, hashes)
+    by_match = np.searchsorted(where, begin)
+    # Items come in after places are told apart by document and window only.
+    pairs = np.unique((np.searchsorted(begin, position, side="right") - 1) * len(tests.start) + found)
+    by_pair = np.searchsorted(pairs // len(tests.start), np.arange(len(counts) + 1))
     for k, n in enumerate(counts):
-        own = by_doc[bounds[k] : bounds[k + 1]]
+        own = pairs[by_pair[k] : by_pair[k + 1]] % len(tests.start)
         if not len(own):
-            yield int(n), [], [], []
+            yield int(n), [], [], False, []
             continue
-        found = [
-            {"item": tests.names[i], "doc_word": int(p - begin[k]), "item_word": int(a), "words": int(w)}
-            for i, p, a, w in zip(item[own], where[own], at[own], words[own], strict=True)
+        names = {tests.names[i] for i in np.unique(np.concatenate([tests.holders[tests.bounds[w] : tests.bounds[w + 1]] for w in own]))}
+        here = slice(by_match[k], by_match[k + 1])
+        matches = [
+            {"item": tests.names[tests.item[t]], "doc_word": int(p - begin[k]), "item_word": int(t - tests.first[t]), "words": int(w)}
+            for p, w, t in zip(where[here], words[here], place[here], strict=True)
         ]
         hit = [{"start": int(a - begin[k]), "stop": int(b - begin[k])} for a, b in spans[by_span[k] : by_span[k + 1]]]
-        yield int(n), hit, sorted({x["item"] for x in found if x["item"] is not None}), found
+        yield int(n), hit, sorted(names - {None}), None in names, matches
+
+
+def _verdicts(parts: list[tuple[np.ndarray, np.ndarray]], tests: TestSuffixes, window: int) -> np.ndarray:
+    """Whether each document of a shard is contaminated."""
+    hashes, counts, begin = _shard(parts)
+    found, position = search(tests, hashes, window)
+    if not len(found):
+        return np.zeros(len(counts), bool)
+    total = np.append(0, np.cumsum(_cover(tests, found, position, len(hashes))))
+    hits = total[begin[1:]] - total[begin[:-1]]
+    return (hits > 0) & (20 * hits >= counts)
 
 
 def _reporter(tests, window: int, shard_words: int, keep: list[str], text: str) -> Callable:
@@ -206,9 +303,9 @@ def _reporter(tests, window: int, shard_words: int, keep: list[str], text: str)
             if not rows:
                 return
             table = pa.Table.from_batches(rows).combine_chunks()
-            words, hit, items, matches = zip(*_judge(shard, own, window), strict=True)
-            more = [pa.array(words, pa.int64()), pa.array(hit, _SPAN), pa.array(items, pa.list_(pa.string())), pa.array(matches, _MATCH)]
-            for name, col in zip(("n_words", "hit", "items", "matches"), more, strict=True):
+            words, hit, items, unnamed, matches = zip(*_judge(shard, own, window), strict=True)
+            more = [pa.array(words, pa.int64()), pa.array(hit, _SPAN), pa.array(items, pa.list_(pa.string())), pa.array(unnamed), pa.array(matches, _MATCH)]
+            for name, col in zip(("n_words", "hit", "items", "unnamed", "matches"), more, strict=True):
                 table = table.append_column(name, col)
             rows.clear()
             shard.clear()
@@ -230,6 +327,20 @@ def _reporter(tests, window: int, shard_words: int, keep: list[str], text: str)
     return run
 
 
+def _items(bench: DataFrame, item_col: str, item_text: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """The benchmark's names and texts, and in how many blocks they are sent."""
+    items = bench.select(F.col(item_col).cast("string").alias("name"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    return items, -(-total // block_bytes) or 1
+
+
+def _sent(items: DataFrame, blocks: int, k: int, window: int):
+    """Block k of the benchmark, prepared and broadcast."""
+    block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k)
+    got = block.distinct().collect()  # at most about block_bytes
+    return items.sparkSession.sparkContext.broadcast(test_suffixes([x["name"] for x in got], [x["text"] for x in got], window))
+
+
 def find_matches(
     docs: DataFrame,
     bench: DataFrame,
@@ -242,10 +353,7 @@ def find_matches(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per document: ``id_col``, ``n_words``, ``hit`` (merged word spans), ``items`` and ``matches`` (longest verbatim matches with their places)."""
-    spark = docs.sparkSession
-    items = bench.select(F.col(item_col).cast("string").alias("name"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
+    items, blocks = _items(bench, item_col, item_text, block_bytes)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
     if blocks > 1:  # the number of a row in its scan names it in every pass
         picked = staged(picked.withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
@@ -253,9 +361,7 @@ def find_matches(
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema if f.name != "body") + ", " + REPORT
     parts = []
     for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k)
-        got = block.distinct().collect()  # at most about block_bytes
-        tests = spark.sparkContext.broadcast(test_suffixes([x["name"] for x in got], [x["text"] for x in got], window))
+        tests = _sent(items, blocks, k, window)
         part = picked.mapInArrow(_reporter(tests, window, shard_words, keep, "body"), kind)
         parts.append(part if blocks == 1 else staged(part.where("size(matches) > 0 OR n_words IS NULL") if k else part, "decontaminate-pass"))
     out = parts[0]
@@ -267,6 +373,7 @@ def find_matches(
             F.max("n_words").alias("n_words"),
             F.flatten(F.collect_list("hit")).alias("hit"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+            F.max("unnamed").alias("unnamed"),
             F.flatten(F.collect_list("matches")).alias("matches"),
         )
         merged = F.aggregate(
@@ -284,16 +391,33 @@ def contaminated(report: DataFrame) -> DataFrame:
     return report.withColumn("n_hit", hits).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the contaminated documents.
 
-    Rows leave by their id and the verdict of that very text: the report runs
-    over a struct of the whole row, so no join is needed and rows that repeat
-    an id are judged each on its own.
+    Rows leave by the verdict on that very text, so no join is needed and rows
+    that repeat an id are judged each on its own. With one block only texts go
+    to the workers; with several, the report of all runs over whole rows.
     """
-    whole = docs.select(F.struct(*docs.columns).alias("whole"), F.col(options.pop("text_col", "text")).alias("text"))
-    report = contaminated(find_matches(whole, bench, id_col="whole", **options))
-    return report.where(~F.col("contaminated")).select("whole.*")
+    items, blocks = _items(bench, item_col, item_text, block_bytes)
+    if blocks > 1:
+        whole = docs.select(F.struct(*docs.columns).alias("whole"), F.col(text_col).alias("text"))
+        report = contaminated(find_matches(whole, bench, "whole", "text", item_col, item_text, window, shard_words, block_bytes))
+        return report.where(~F.col("contaminated")).select("whole.*")
+    tests = _sent(items, 1, 0, window)
+
+    def clean(texts: pa.Array) -> pa.Array:
+        out, shard, size = [np.zeros(0, bool)], [], 0
+        for a, b in slices(texts):
+            shard.append(word_hashes(texts.slice(a, b - a), ALNUM))
+            size += len(shard[-1][0])
+            if size >= shard_words:
+                out.append(_verdicts(shard, tests.value, window))
+                shard, size = [], 0
+        if shard:
+            out.append(_verdicts(shard, tests.value, window))
+        return pa.array(~np.concatenate(out))
+
+    return docs.where(F.arrow_udf(clean, "boolean")(F.col(text_col).cast("string")))
 
 
 def digest(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -303,7 +427,7 @@ def digest(docs: DataFrame, bench: DataFrame) -> DataFrame:
         "doc_id",
         "n_words",
         "n_hit",
-        F.size("items").cast("bigint").alias("n_items"),
+        (F.size("items") + F.col("unnamed").cast("int")).cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )

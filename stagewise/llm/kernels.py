@@ -55,6 +55,11 @@ def _pow(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def powers(inverse: bool, n: int) -> np.ndarray:
+    """The first n powers of the base of range hashes, or of its inverse."""
+    return _pow(_INVERSE if inverse else _ODD, n)
+
+
 def slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of ``col`` with at most ``limit`` bytes of text, one row at least."""
     if not len(col):
