@@ -26,7 +26,6 @@ from __future__ import annotations
 import functools
 import io
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -41,13 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .kernels import SLICE_BYTES, slices
+from .kernels import LOWER, slices, utf8, word_spans
 from .scratch import new_path, shuffle_width, staged
 
 END_ID = 1
 SHARD_TOKENS = 1 << 21
 BLOCK_BITS = 1 << 16
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 600_000
+#: Bytes of text that are encoded at a time.
+ENCODE_BYTES = 4 << 20
 MAGIC = b"WMTOK1\0\0"
 #: Tokens, documents, planes, bits in a block, bytes of the directory.
 _HEAD = struct.Struct("<8sQQIIQ")
@@ -65,24 +66,41 @@ class _Ids:
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, ids])
 
-    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of these numbers, one after the other, and the number of each one's."""
-        first = self.starts[numbers]
-        size = self.starts[numbers + 1] - first
-        return self.ids[np.arange(int(size.sum())) + np.repeat(first - np.cumsum(size) + size, size)], size
+
+class _Learnt:
+    """Strings with their ids, in the order in which they were learnt."""
+
+    def __init__(self) -> None:
+        self.known, self.ids = pa.array([], pa.string()), _Ids()
+
+    def numbers(self, strings: pa.Array, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The number of each string; those that are new are encoded, each once."""
+        coded = strings.dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=self.known)
+        if at.null_count:
+            new = coded.dictionary.filter(pc.is_null(at))
+            first = len(self.known)
+            self.ids.add(*encode(new.to_pylist()))
+            self.known = pa.concat_arrays([self.known, new])
+            fresh = np.full(len(at), -1)
+            fresh[pc.is_null(at).to_numpy(zero_copy_only=False)] = first + np.arange(len(new))
+            at = np.where(fresh >= 0, fresh, pc.fill_null(at, 0).to_numpy(zero_copy_only=False))
+        else:
+            at = at.to_numpy(zero_copy_only=False)
+        return at.astype(np.int64)[coded.indices.to_numpy()]
 
 
 class ChunkEncoder:
     """Encodes texts with a tokenizers file; what stands between blanks is encoded once while the cache holds it.
 
-    Most chunks are a run of letters up to U+00FF, perhaps with a sign behind.
-    They are put in lower case and cut before the sign, as the tokenizer does;
+    Most chunks are a run of letters up to U+00FF, perhaps with ASCII signs behind.
+    They are put in lower case and cut before the signs, as the tokenizer does;
     a run is one word of the tokenizer, so many are encoded in one string and
     taken apart where a token ends a word. Other chunks are encoded as they are.
+    All of this works on the bytes of many texts at once; only strings that the
+    cache lacks become Python objects.
     """
 
-    PLAIN = re.compile("([a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+)([.,;:!?]?)").fullmatch
-
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
@@ -91,60 +109,100 @@ class ChunkEncoder:
         words = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
-        self._clear()
-
-    def _clear(self) -> None:
-        self.chunks: dict[str, int] = {}
-        self.cores: dict[str, int] = {"": 0}
-        self.chunk_ids, self.core_ids = _Ids(), _Ids()
-        self.core_ids.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
-
-    def _learn_cores(self, plain: list[str], other: list[str]) -> None:
-        joined = [" ".join(plain[k : k + 256]) for k in range(0, len(plain), 256)]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
-        ids = np.concatenate([np.asarray(i, np.uint32) for i in ids]) if ids else np.zeros(0, np.uint32)
+        if not self.ends.any():
+            raise ValueError(f"{path}: a vocabulary whose words end in </w> is needed")
+        self.cores, self.others = _Learnt(), _Learnt()
+
+    def _as_they_are(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        return np.fromiter((i for g in got for i in g), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _words(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of letters, encoded 256 in a string."""
+        joined = [" ".join(strings[k : k + 256]) for k in range(0, len(strings), 256)]
+        ids = np.concatenate([np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(plain):
+        if len(ends) != len(strings):
             raise ValueError("the tokenizer does not take a run of letters as one word")
-        self.core_ids.add(ids, np.diff(np.append(0, ends)))
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-        self.core_ids.add(np.fromiter((i for g in got for i in g), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
-        new = [*plain, *other]
-        self.cores.update(zip(new, range(len(self.cores), len(self.cores) + len(new)), strict=True))
-
-    def _learn(self, chunks: list[str]) -> None:
-        flat, plain, other = [], set(), []
-        for chunk in chunks:
-            if match := self.PLAIN(chunk.lower()):
-                core, sign = match.groups()
-                plain.add(core)
-            else:
-                core, sign = chunk, ""
-                other.append(chunk)
-            flat += (core, sign)
-        plain.difference_update(self.cores)
-        other = list({*other, *flat[1::2]}.difference(self.cores))
-        if plain or other:
-            self._learn_cores(list(plain), other)
-        ids, sizes = self.core_ids.of(np.fromiter(map(self.cores.__getitem__, flat), np.int64, len(flat)))
-        self.chunk_ids.add(ids, sizes.reshape(-1, 2).sum(axis=1))
-        self.chunks.update(zip(chunks, range(len(self.chunks), len(self.chunks) + len(chunks)), strict=True))
+        return ids, np.diff(np.append(0, ends))
+
+    @staticmethod
+    def _letters(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which bytes belong to letters up to U+00FF, and all bytes with these in lower case."""
+        low = LOWER[buf]
+        letter = (low >= 97) & (low <= 122)
+        second = buf[1:]
+        wide = (buf[:-1] == 0xC3) & (second != 0x97) & (second != 0xB7)
+        signs = (buf[:-1] == 0xC2) & ((second == 0xAA) | (second == 0xB5) | (second == 0xBA))
+        for lead in (wide, signs):
+            letter[:-1] |= lead
+            letter[1:] |= lead
+        upper = np.flatnonzero(wide & (second < 0x9F)) + 1
+        low[upper] += 0x20
+        return letter, low
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the number of each text's; null reads as empty."""
-        if len(self.chunks) > self.limit:
-            self._clear()
-        texts = pc.fill_null(texts, "")
-        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        words = parts.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        new = [c for c in distinct if c not in self.chunks]
-        if new:
-            self._learn(new)
-        number = np.fromiter(map(self.chunks.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
-        ids, sizes = self.chunk_ids.of(number)
-        cut = np.append(0, np.cumsum(pc.list_value_length(parts).to_numpy()))
-        return ids, np.diff(np.append(0, np.cumsum(sizes))[cut])
+        for learnt in ("cores", "others"):
+            if len(getattr(self, learnt).known) > self.limit:
+                setattr(self, learnt, _Learnt())
+        buf, offsets = utf8(texts)
+        starts, ends, rows = word_spans(buf, offsets, _NOT_BLANK)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        letter, low = self._letters(buf)
+        # Bytes that are no letters, and 2 ** 16 for each that is no sign either or has a letter behind it.
+        odd = ~letter & _NOT_BLANK[buf]
+        bad = odd & ~_SIGN[buf]
+        bad[:-1] |= odd[:-1] & letter[1:] & ~_first(offsets, len(buf))[1:]
+        behind = np.add.reduceat(odd + (bad.astype(np.int32) << 16), starts, dtype=np.int64)
+        plain = behind < np.minimum(ends - starts, 1 << 16)
+        stops = np.where(plain, ends - behind, ends)
+        signed = np.flatnonzero(plain & (behind > 0))
+        sizes, tables = np.zeros((len(starts), 2), np.int64), []
+        for learnt, encode, data, which, part, a, b in (
+            (self.cores, self._words, low, np.flatnonzero(plain), 0, starts, stops),
+            (self.others, self._as_they_are, buf, np.flatnonzero(~plain), 0, starts, ends),
+            (self.others, self._as_they_are, buf, signed, 1, stops, ends),
+        ):
+            if len(which):
+                number = learnt.numbers(_strings(data, a[which], b[which]), encode)
+                first = learnt.ids.starts[number]
+                sizes[which, part] = learnt.ids.starts[number + 1] - first
+                tables.append((learnt, 2 * which + part, first))
+        flat = sizes.ravel()
+        to = np.append(0, np.cumsum(flat))
+        out = np.empty(int(to[-1]), np.uint32)
+        for learnt, units, first in tables:
+            n = flat[units]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(to[units], n) + step] = learnt.ids.ids[np.repeat(first, n) + step]
+        return out, np.diff(to[2 * rows])
+
+
+#: Signs that may stand behind a run of letters: all of ASCII but letters, digits, blanks and control characters.
+_SIGN = np.zeros(256, bool)
+_SIGN[0x21:0x7F] = True
+_SIGN[0x30:0x3A] = _SIGN[0x41:0x5B] = _SIGN[0x61:0x7B] = False
+_NOT_BLANK = np.ones(256, bool)
+_NOT_BLANK[[0x20, 0x0A]] = False
+
+
+def _first(offsets: np.ndarray, n: int) -> np.ndarray:
+    """Which bytes begin a text."""
+    out = np.zeros(n + 1, bool)
+    out[offsets] = True
+    return out[:n]
+
+
+def _strings(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """Ascending byte ranges as strings."""
+    mark = np.zeros(len(buf) + 1, np.int8)
+    mark[starts] += 1
+    mark[stops] -= 1  # a range may begin where another stops
+    data = buf[np.cumsum(mark[:-1], dtype=np.int8) > 0]
+    offsets = np.append(0, np.cumsum(stops - starts)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()))
 
 
 @functools.lru_cache(maxsize=1)
@@ -312,7 +370,7 @@ def _writer(folder: str, tokenizer: str, shard_tokens: int, end_id: int) -> Call
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["task", "shard", "path", "n_docs", "n_tokens"])
 
         for batch in batches:
-            for a, b in slices(batch.column(1), min(SLICE_BYTES, 4 * shard_tokens)):
+            for a, b in slices(batch.column(1), min(ENCODE_BYTES, 4 * shard_tokens)):
                 got, size = encode(batch.column(1).slice(a, b - a))
                 names += batch.column(0).slice(a, b - a).to_pylist()
                 ids.append(np.insert(got, np.cumsum(size), end_id))
