@@ -32,6 +32,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:16]}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of its file system: Spark's default one if it names none, as executors read it the same way."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written below the shared folder and read back."""
     spark = df.sparkSession

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .kernels import LOWER, slices, utf8, word_spans
-from .scratch import new_path, shuffle_width, staged
+from .scratch import new_path, qualified, shuffle_width, staged
 
 END_ID = 1
 SHARD_TOKENS = 1 << 21
@@ -411,7 +411,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
     128 MB of text if that is more).
     """
     spark = docs.sparkSession
-    folder = folder or new_path(spark, "wavelet")
+    folder = qualified(spark, folder or new_path(spark, "wavelet"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("name"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = tasks or max(shuffle_width(spark), size // (128 << 20) + 1)

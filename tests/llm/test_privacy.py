@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from tables import documents, sf  # noqa: F401
@@ -127,6 +128,24 @@ def test_every_context_counts(spark, documents):
     assert {"slartibart", "prosser"} <= terms and "hapax" not in terms
 
 
+def test_recall_of_planted_names(spark, documents):
+    """Thirty people, each with an address, in four letters each among others: their names are found, other words are left."""
+    r = random.Random(8)
+    vocab = [f"word{k}" for k in range(300)]
+    some = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    names = [f"Person{chr(97 + k % 26)}{chr(97 + k // 26)}x" for k in range(30)]
+    rows = [(k, some(r.randrange(20, 60))) for k in range(400)]
+    for k, name in enumerate(names):
+        for j in range(4):
+            rows.append((1000 + 10 * k + j, f"{some(12)} {name} {some(r.randrange(2, 14))} {name.lower()}@mail.example {some(9)}"))
+    docs = documents(rows)
+    clean = {x["doc_id"]: x["text"] for x in P.sanitise(docs).collect()}
+    kept = sum(name in clean[1000 + 10 * k + j] for k, name in enumerate(names) for j in range(4))
+    assert kept <= 0.1 * 4 * len(names)
+    left = sum(clean[d] == t for d, t in rows if d < 1000)
+    assert left >= 0.95 * 400
+
+
 def test_sanitise_keeps_rows_and_columns(spark, documents):
     docs = documents([(1, None), (1, "mail a@b.co and 1.2.3.4"), (1, "mail a@b.co and 1.2.3.4"), (None, "")]).selectExpr("*", "1 AS cut")
     out = P.sanitise(docs)

@@ -71,6 +71,8 @@ def test_files_round_trip(spark, documents, plain, tmp_path):
     docs = documents(rows).repartition(5).selectExpr("*", "1 AS start", "2 AS name")
     manifest = W.write_shards(docs, PATH, folder=str(tmp_path / "shards"), shard_tokens=200, tasks=3)
     assert len(list((tmp_path / "shards").iterdir())) == manifest.count() > 4
+    # The folder has no scheme; the files are named with that of Spark's default file system.
+    assert all(r["path"].startswith("file:/") for r in manifest.collect())
     got = sorted(map(tuple, W.read_shards(manifest).collect()), key=lambda r: r[1])
     assert got == brute(rows, plain)
 
