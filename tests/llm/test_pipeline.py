@@ -68,6 +68,30 @@ def test_shards(spark, passed):
     assert {r["shard"] for r in passed[5]} <= set(range(sharding.SHARDS))
 
 
+def test_repeated_rows_null_ids_and_clashing_columns(spark, tmp_path):
+    """Each stage keeps all columns, whatever their names; one row of each group stays, with or without an id."""
+    passage = " ".join(f"bench{k}" for k in range(20))
+    texts = [(1, "these words stand in three rows that are all the same")] * 3
+    texts += [(None, "these other words belong to rows that have no id at all")] * 2
+    texts += [(5, None), (6, ""), (9, passage), (12, "a text of its own that nothing else in here repeats"), (-4, "ÜBER 123 !?")]
+    more = "1 AS row, 2 AS whole, 3 AS size, 4 AS copies, 5 AS hash, 6 AS tail, 7 AS part, 8 AS n, 9 AS gone, 10 AS equal, 11 AS shard"
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.selectExpr("*", *more.split(", ")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(None, passage), (1, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns, kept = at.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        at = staged(stage(spark, at, str(tmp_path)), f"test-{name}")
+        kept[name] = sorted(str(r["doc_id"]) for r in at.collect())
+        assert at.columns == columns
+    assert kept["quality"] == sorted(str(d) for d, _ in texts)
+    assert kept["near-copies"] == sorted(["1", "None", "5", "6", "9", "12", "-4"])
+    assert kept["decontaminate"] == sorted(["1", "None", "5", "6", "12", "-4"])
+    assert set(kept["mix"]) <= set(kept["decontaminate"]) and kept["shard"] == kept["mix"]
+    assert all(0 <= r["shard"] < sharding.SHARDS for r in at.collect())
+
+
 def test_run_on_empty_tables(spark, tmp_path):
     for name, kind in (
         ("documents", "doc_id long, text string, lang string, source string, n_chars long"),
